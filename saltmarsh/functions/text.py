@@ -1,4 +1,4 @@
-"""Text functions as Column expressions."""
+"""Text functions as Column expressions. Sizes and offsets of the retrieval operators are UTF-8 bytes."""
 
 from __future__ import annotations
 
@@ -13,3 +13,66 @@ STOPWORDS = tuple("with will were from that was the its has for and are to on of
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null counts as empty."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), lambda t: F.length(t) > 0)
+
+
+def filtered_tokens(text: Column) -> Column:
+    """Tokens without stopwords; repeats stay."""
+    return F.filter(tokens(text), lambda t: ~t.isin(*STOPWORDS))
+
+
+def bigrams(words: Column) -> Column:
+    """Adjacent pairs of an array as structs (first, second)."""
+    n = F.size(words)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<first:string,second:string>>"))
+
+
+def trim_unicode(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def words(text: Column) -> Column:
+    """Parts between Unicode white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: F.length(w) > 0)
+
+
+def lexical_overlap(query: Column, content: Column) -> Column:
+    """Jaccard of the two sets of words; words match without regard to A-Z and a-z, sets are case-sensitive."""
+    q, c = F.array_distinct(words(query)), F.array_distinct(words(content))
+    low = F.array_distinct(F.transform(c, F.lower))
+    common = F.size(F.filter(q, lambda w: F.array_contains(low, F.lower(w))))
+    return F.when((F.size(q) == 0) | (F.size(c) == 0), F.lit(0.0)).otherwise(common / (F.size(q) + F.size(c) - common))
+
+
+def contains_any(text: Column, *keywords: str) -> Column:
+    found = F.lit(False)
+    for keyword in keywords:
+        found = found | text.contains(keyword)
+    return found
+
+
+def byte_truncate(text: Column, n: Column) -> Column:
+    """The longest prefix of whole characters of at most n UTF-8 bytes."""
+    cut = F.substring(F.encode(text, "UTF-8"), F.lit(1), F.greatest(n, F.lit(0)))
+    size = F.octet_length(cut)
+    byte = lambda k: F.coalesce(F.conv(F.hex(F.substring(cut, size - (k - 1), F.lit(1))), 16, 10).cast("int"), F.lit(0))
+    # An unfinished character at the end: its first byte is the last, the second last of 3 or more, or the third last of 4.
+    drop = F.when(byte(1) >= 0xC0, 1).when((size > 1) & (byte(1) >= 0x80) & (byte(2) >= 0xE0), 2).when((size > 2) & (byte(1) >= 0x80) & (byte(2) >= 0x80) & (byte(3) >= 0xF0), 3).otherwise(0)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(cut, F.lit(1), size - drop), "UTF-8"))
+
+
+def one_line(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(" "))
+
+
+def fixed(x: Column, digits: int = 3) -> Column:
+    return F.format_string(f"%.{digits}f", x)
+
+
+def is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+def prompt(instruction: str, context: Column, query: Column, prefix: str = "User Query:") -> Column:
+    """Instruction, context and question, a blank line between."""
+    return F.concat(F.lit(instruction + "\n\n"), context, F.lit(f"\n\n{prefix} "), query)

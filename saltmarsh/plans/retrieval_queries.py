@@ -1,2 +1,419 @@
-QUERIES = {}
-SQL = {}
+"""Registered retrieval queries over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import cache as C
+from ..operators import chunk as Ch
+from ..operators import context as Cx
+from ..operators import dense as D
+from ..operators import embed as E
+from ..operators import evaluate as Ev
+from ..operators import fusion as Fu
+from ..operators import memory as M
+from ..operators import metrics as Me
+from ..operators import rerank as R
+from ..operators.retrieve import HybridEngine, RagQuery
+from ..operators.sparse import SparseIndex
+from ..session import table
+
+#: (query_id, text, id of the vector that stands for its embedding)
+BATCH = [(1, "the tion of er", 0), (2, "ing re and on the", 1), (3, "heit der ung", 2)]
+K1, B = 1.2, 0.75
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _queries(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
+    q = spark.createDataFrame(BATCH, "query_id long, text string, vec_id long")
+    if not vectors:
+        return q.select("query_id", "text")
+    return q.join(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vec_id").select("query_id", "text", "embedding")
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(F.col(name), digits).alias(name)
+
+
+def bm25_topk(spark, sf):
+    return SparseIndex.build(_docs(spark, sf)).search(_queries(spark, sf), 10).select("query_id", "doc_id", _r("score"), "rank")
+
+
+def bm25_plus_topk(spark, sf):
+    return SparseIndex.build(_docs(spark, sf), delta=1.0).search(_queries(spark, sf), 10).select("query_id", "doc_id", _r("score"), "rank")
+
+
+def bm25_batch(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return SparseIndex.build(_docs(spark, sf)).search(q, 5).select("query_id", "doc_id", _r("score"), "rank")
+
+
+def term_stats(spark, sf):
+    return SparseIndex.build(_docs(spark, sf)).term_stats()
+
+
+def doc_lengths(spark, sf):
+    return SparseIndex.build(_docs(spark, sf)).doc_stats
+
+
+def corpus_stats(spark, sf):
+    index = SparseIndex.build(_docs(spark, sf))
+    return index.corpus().select("n_docs", _r("avgdl")).join(index.term_stats().agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("cf").alias("n_tokens")))
+
+
+def stopword_filtered_tokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(T.filtered_tokens(F.col("text"))).cast("long").alias("n_filtered"), F.md5(F.array_join(T.filtered_tokens(F.col("text")), " ").cast("binary")).alias("digest"))
+
+
+def token_bigrams(spark, sf):
+    grams = _docs(spark, sf).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("g"))
+    return grams.groupBy("g.first", "g.second").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+def _dense(metric):
+    def run(spark, sf):
+        rows = table(spark, sf, "embeddings")
+        q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return D.search(rows, q, 10, metric).select("query_id", "doc_id", _r("score"), "rank")
+
+    return run
+
+
+def vector_functions(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    a, b = F.col("embedding"), F.col("other")
+    return pairs.select("vec_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.l2_norm(a), 6).alias("norm"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.similarity("euclidean", a, b), 6).alias("euclidean"))
+
+
+def l2_normalize(spark, sf):
+    v = V.normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(v).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+
+
+def _lists(spark, sf):
+    q = _queries(spark, sf, True)
+    docs = _docs(spark, sf)
+    dense = D.search(table(spark, sf, "embeddings"), q.select("query_id", "embedding"), 30)
+    return dense.withColumn("score", F.round("score", 6)), SparseIndex.build(docs).search(q.select("query_id", "text"), 30).withColumn("score", F.round("score", 6))
+
+
+def _fused(strategy):
+    def run(spark, sf):
+        dense, sparse = _lists(spark, sf)
+        return Fu.fuse(dense, sparse, strategy, 20, alpha=0.7).select("query_id", "doc_id", _r("score"), "rank", _r("dense_score"), _r("sparse_score"))
+
+    return run
+
+
+def minmax_norm(spark, sf):
+    return Fu.min_max(_lists(spark, sf)[1]).select("query_id", "doc_id", _r("score"), _r("normalized"))
+
+
+def zscore_norm(spark, sf):
+    return Fu.z_score(_lists(spark, sf)[1]).select("query_id", "doc_id", _r("score"), _r("normalized"))
+
+
+def _engine(spark, sf):
+    docs = table(spark, sf, "documents")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return HybridEngine(docs, vectors)
+
+
+_META = P.Typed(numeric=["n_chars"], text=["lang", "source"])
+
+
+def _hybrid(prefilter):
+    def run(spark, sf):
+        wanted = P.compile(P.all_of(P.eq("lang", "en"), P.gte("n_chars", 300)), _META)
+        found = _engine(spark, sf).query(_queries(spark, sf, True), RagQuery(top_k=10, condition=wanted, prefilter=prefilter))
+        return found.select("query_id", "doc_id", _r("score"), "rank", "lang")
+
+    return run
+
+
+def hybrid_search_plain(spark, sf):
+    return _engine(spark, sf).search(_queries(spark, sf, True), 10).select("query_id", "doc_id", _r("score"), "rank")
+
+
+def metadata_predicates(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    m = P.Typed(numeric=["n_chars", "quality", "toxic"], text=["lang", "source"])
+    tests = {
+        "p_eq": P.eq("quality", 1), "p_ne": P.ne("quality", 1), "p_in": P.is_in("lang", ["de", "fr"]), "p_not_in": P.not_in("toxic", [1]),
+        "p_gt": P.gt("n_chars", 1000), "p_gte": P.gte("quality", 1), "p_lt": P.lt("toxic", 1), "p_lte": P.lte("n_chars", 500), "p_contains": P.contains("source", "rc1"),
+        "p_and": P.all_of(P.eq("lang", "en"), P.negate(P.eq("toxic", 1))), "p_or": P.any_of(P.eq("lang", "es"), P.gt("n_chars", 5000)), "p_empty_and": P.all_of(), "p_empty_or": P.any_of(), "p_not": P.negate(P.lt("toxic", 1)), "p_kind": P.eq("lang", 1),
+    }
+    return docs.select("doc_id", *[P.compile(c, m).alias(n) for n, c in tests.items()])
+
+
+def variant_predicates(spark, sf):
+    events = table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("props"))
+    m = P.Variant("props")
+    return events.select("event_id", P.compile(P.gt("k", 50), m).alias("p_gt"), P.compile(P.lte("k", 10), m).alias("p_lte"), P.compile(P.eq("k", 7), m).alias("p_eq"), P.compile(P.ne("missing", 1), m).alias("p_ne"), P.compile(P.contains("k", "1"), m).alias("p_contains"))
+
+
+def _pairs(spark, sf):
+    q = _queries(spark, sf)
+    hits = SparseIndex.build(_docs(spark, sf)).search(q, 30)
+    return hits.join(_docs(spark, sf), "doc_id").join(q.withColumnRenamed("text", "query"), "query_id").select("query_id", "doc_id", "query", "text", "score")
+
+
+def cross_encoder_explain(spark, sf):
+    q = _queries(spark, sf).withColumnRenamed("text", "query")
+    pairs = _docs(spark, sf).join(F.broadcast(q), F.lit(True))
+    return R.explain(pairs).select("query_id", "doc_id", _r("token_coverage"), _r("phrase_match"), _r("proximity"), _r("combined_score"))
+
+
+def cross_encoder_rerank(spark, sf):
+    x = _pairs(spark, sf).withColumn("score", F.round("score", 6))
+    cross = R.explain(x).withColumn("combined_score", F.round("combined_score", 6))
+    return R.rerank(x, 10, scores=cross).select("query_id", "doc_id", _r("reranked_score"), "initial_rank", "new_rank", "rank_delta")
+
+
+def mmr_rerank(spark, sf):
+    found = _engine(spark, sf).query(_queries(spark, sf, True), RagQuery(top_k=10, strategy="dense", mmr_lambda=0.5))
+    return found.select("query_id", "doc_id", _r("score"), "rank")
+
+
+def hybrid_reranked(spark, sf):
+    return _engine(spark, sf).query(_queries(spark, sf, True), RagQuery(top_k=10, rerank=True, min_score=0.05)).select("query_id", "doc_id", _r("score"), "rank")
+
+
+def context_assembly(spark, sf):
+    hits = SparseIndex.build(_docs(spark, sf)).search(_queries(spark, sf), 5).withColumn("score", F.round("score", 6)).join(table(spark, sf, "documents"), "doc_id")
+    x = hits.select("query_id", "rank", "doc_id", "score", "text", "source", F.col("lang").alias("category"), F.lit(None).cast("string").alias("url"))
+    found = Cx.assemble(x, Cx.ContextConfig(max_chars=1_000_000, layout="numbered", include_scores=False))
+    return found.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.col("doc_count").cast("long").alias("doc_count"), F.col("total_chars").cast("long").alias("total_chars"), "was_truncated", F.array_join(F.transform("citations", lambda c: c["doc_id"].cast("string")), ",").alias("cited"))
+
+
+def prompts(spark, sf):
+    hits = SparseIndex.build(_docs(spark, sf)).search(_queries(spark, sf), 5).join(table(spark, sf, "documents"), "doc_id")
+    x = hits.select("query_id", "rank", "doc_id", "score", "text", "source", F.col("lang").alias("category"), F.lit(None).cast("string").alias("url"))
+    found = Cx.assemble(x, Cx.ContextConfig(max_chars=2_000, header="Passages")).join(_queries(spark, sf), "query_id")
+    return found.select("query_id", "doc_count", "was_truncated", F.length(T.prompt("Answer from the passages.", F.col("context"), F.col("text"))).alias("n_chars"))
+
+
+def _chunks(strategy, **kw):
+    def run(spark, sf):
+        return Ch.chunk(_docs(spark, sf), Ch.ChunkConfig(strategy, **kw)).select("doc_id", "chunk_index", "chunk_id", "start_char", "end_char", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+    return run
+
+
+def hash_embedding(spark, sf):
+    return E.embed(_docs(spark, sf), 64).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+def _entries(spark, sf):
+    e = table(spark, sf, "embeddings").where("vec_id % 7 = 0")
+    fields = F.array(F.struct(F.col("vec_id").alias("doc_id"), F.lit(1.0).alias("score")))
+    return e.select(F.col("vec_id").alias("entry_id"), F.lit("q").alias("query"), "embedding", fields.alias("results"), (F.col("vec_id") * 10).alias("created_at"), (F.col("vec_id") * 10).alias("last_accessed"))
+
+
+_CACHE = C.CacheConfig(capacity=100_000, threshold=0.3, ttl=4_000)
+
+
+def semantic_cache_lookup(spark, sf):
+    q = table(spark, sf, "embeddings").where("vec_id % 50 = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    return C.lookup(_entries(spark, sf), q, F.lit(5_000), _CACHE).select("query_id", "entry_id", _r("similarity"))
+
+
+def cache_invalidate(spark, sf):
+    gone = table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id"))
+    return C.invalidate(_entries(spark, sf), gone).select("entry_id", "created_at")
+
+
+def cache_insert(spark, sf):
+    e = _entries(spark, sf)
+    return C.insert(e.where("entry_id % 2 = 0"), e.where("entry_id % 2 = 1"), F.lit(5_000), C.CacheConfig(capacity=30, ttl=4_000)).select("entry_id", "last_accessed")
+
+
+def ir_metrics(spark, sf):
+    docs, labels = _docs(spark, sf), table(spark, sf, "labels")
+    q = _queries(spark, sf)
+    truth = labels.where("quality = 1").agg(F.array_sort(F.collect_set("doc_id")).alias("ground_truth_ids"))
+    found = Ev.collect_ids(SparseIndex.build(docs).search(q, 20))
+    return Ev.by_query(found.join(truth), 20).select("query_id", *[_r(m) for m in Ev.METRICS])
+
+
+def self_eval(spark, sf):
+    return Ev.self_eval(_docs(spark, sf), 10).select(*[_r(m) for m in Ev.METRICS], "n_samples")
+
+
+def ingest_report(spark, sf):
+    docs = _docs(spark, sf)
+    return Me.ingest_report(docs, Ch.chunk(docs, Ch.ChunkConfig("fixed_chars", 500, 50, 10)))
+
+
+def memory_recall(spark, sf):
+    c = table(spark, sf, "conversations")
+    episodes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), (F.col("conv_id") * 60 + F.col("turn")).alias("timestamp"), ((F.col("turn") % 10) / 10).alias("importance"))
+    return M.recall(episodes, _queries(spark, sf), F.lit(100_000), 10, half_life=36_000.0).select("query_id", "rank", "id", _r("score"), _r("relevance"), _r("recency"), _r("importance"))
+
+
+QUERIES = {
+    "bm25_topk": bm25_topk, "bm25_plus_topk": bm25_plus_topk, "bm25_batch": bm25_batch, "term_stats": term_stats, "doc_lengths": doc_lengths, "corpus_stats": corpus_stats,
+    "stopword_filtered_tokens": stopword_filtered_tokens, "token_bigrams": token_bigrams,
+    "dense_cosine_topk": _dense("cosine"), "dense_dot_topk": _dense("dot"), "dense_euclidean_topk": _dense("euclidean"), "vector_functions": vector_functions, "l2_normalize": l2_normalize,
+    "rrf_fusion": _fused("rrf"), "weighted_fusion": _fused("weighted"), "borda_fusion": _fused("borda"), "minmax_norm": minmax_norm, "zscore_norm": zscore_norm,
+    "hybrid_search_filtered": _hybrid(False), "hybrid_search_prefiltered": _hybrid(True), "hybrid_search_plain": hybrid_search_plain, "hybrid_reranked": hybrid_reranked,
+    "metadata_predicates": metadata_predicates, "variant_predicates": variant_predicates,
+    "cross_encoder_explain": cross_encoder_explain, "cross_encoder_rerank": cross_encoder_rerank, "mmr_rerank": mmr_rerank,
+    "context_assembly": context_assembly, "prompts": prompts,
+    "chunk_fixed_chars": _chunks("fixed_chars", size=500, overlap=50, min_chunk_size=10), "chunk_fixed_tokens": _chunks("fixed_tokens", size=200, overlap=20), "chunk_paragraph": _chunks("paragraph", min_chunk_size=10), "chunk_sentence": _chunks("sentence"),
+    "hash_embedding": hash_embedding, "semantic_cache_lookup": semantic_cache_lookup, "cache_invalidate": cache_invalidate, "cache_insert": cache_insert,
+    "ir_metrics": ir_metrics, "self_eval": self_eval, "ingest_report": ingest_report, "memory_recall": memory_recall,
+}
+
+
+# --- the same in DuckDB SQL ---------------------------------------------------------------------------------------
+
+
+def _tok(column: str) -> str:
+    return f"list_filter(string_split_regex(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+_BATCH = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', {v}::BIGINT)" for i, t, v in BATCH) + ") t(query_id, text, vec_id))"
+_INDEX = f"""toks AS MATERIALIZED (SELECT doc_id, {_tok("text")} AS tk FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS term FROM toks) GROUP BY ALL),
+dl AS (SELECT doc_id, len(tk)::BIGINT AS dl FROM toks), corpus AS (SELECT count(*) AS n, greatest(avg(dl), 1) AS avgdl FROM dl),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+
+
+def _bm25(k: int, delta: float = 0.0, q: str = "q") -> str:
+    return f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tok("text")}) AS term FROM {q}) GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, round(sum(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * dl / avgdl)) + {delta}) * qtf), 9) AS score
+  FROM qt JOIN post USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), corpus GROUP BY ALL),
+sparse AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored QUALIFY rank <= {k})"""
+
+
+_OUT = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM"
+_V = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+def _dense_sql(metric: str, k: int = 10, q: str = "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0") -> str:
+    score = {
+        "cosine": "CASE WHEN list_dot_product(a, a) * list_dot_product(b, b) = 0 THEN 0 ELSE greatest(-1, least(1, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))))) END",
+        "dot": "list_dot_product(a, b)",
+        "euclidean": "1 / (1 + list_distance(a, b))",
+    }[metric]
+    return f"""dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM
+ (SELECT query_id, doc_id, round({score}, 9) AS score FROM (SELECT query_id, {_V} AS a FROM ({q})), (SELECT vec_id AS doc_id, {_V} AS b FROM embeddings)) QUALIFY rank <= {k})"""
+
+
+_LISTS = f"""{_BATCH}, {_INDEX}, {_bm25(30).replace("sparse AS (", "sparse0 AS (")},
+{_dense_sql("cosine", 30, "SELECT query_id, embedding FROM q JOIN embeddings USING (vec_id)").replace("dense AS (", "dense0 AS (")},
+sparse AS (SELECT query_id, doc_id, round(score, 6) AS score FROM sparse0), dense AS (SELECT query_id, doc_id, round(score, 6) AS score FROM dense0)"""
+
+
+def _both(side: str) -> str:
+    return f"SELECT query_id, doc_id, score, '{side}' AS side FROM {side}"
+
+
+def _fusion_sql(part: str, k: int = 20, raw: bool = True) -> str:
+    n = "count({0}) OVER (PARTITION BY query_id) = 0"
+    score = f"CASE WHEN {n.format('sparse_score')} THEN dense_score WHEN {n.format('dense_score')} THEN sparse_score ELSE score END" if raw else "score"
+    return f"""both_sides AS ({_both("dense")} UNION ALL {_both("sparse")}),
+ranked AS (SELECT *, row_number() OVER (w ORDER BY score DESC, doc_id) AS r, count(*) OVER w AS n, min(score) OVER w AS lo, max(score) OVER w AS hi FROM both_sides WINDOW w AS (PARTITION BY query_id, side)),
+fused AS (SELECT query_id, doc_id, round(sum({part}), 9) AS score, max(CASE WHEN side = 'dense' THEN score END) AS dense_score, max(CASE WHEN side = 'sparse' THEN score END) AS sparse_score FROM ranked GROUP BY ALL),
+passed AS (SELECT * REPLACE ({score} AS score) FROM fused), found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM passed QUALIFY rank <= {k})"""
+
+
+_FUSED = "SELECT query_id, doc_id, round(score, 6) AS score, rank, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score FROM found"
+_RRF = "1 / (60.0::DOUBLE + r)"
+
+
+def _wide(k: int, docs: str = "documents", vectors: str = "embeddings") -> str:
+    index = _INDEX.replace("FROM documents)", f"FROM {docs})")
+    dense = _dense_sql("cosine", k, "SELECT query_id, embedding FROM q JOIN embeddings USING (vec_id)").replace("AS b FROM embeddings))", f"AS b FROM {vectors}))")
+    return f"{_BATCH}, {index}, {_bm25(k)}, {dense}, {_fusion_sql(_RRF, k)}"
+
+
+_WANT = "lang = 'en' AND n_chars >= 300"
+_EXPLAIN = f"""pairs AS MATERIALIZED (SELECT query_id, doc_id, {_tok("q.text")} AS qt, {_tok("d.text")} AS dt FROM q, documents d),
+cov AS (SELECT *, len(list_filter(qt, lambda x: list_contains(dt, x))) AS m, list_distinct(list_transform(range(1, len(dt)), lambda i: dt[i] || ' ' || dt[i + 1])) AS dg,
+  list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) AS qg, list_filter(range(1, len(dt) + 1), lambda i: list_contains(qt, dt[i])) AS hits FROM pairs),
+parts AS (SELECT query_id, doc_id, CASE WHEN len(dt) = 0 THEN 0 ELSE m / len(qt) END AS token_coverage,
+  CASE WHEN len(dt) < 2 THEN 0 ELSE len(list_filter(qg, lambda g: list_contains(dg, g))) / (len(qt) - 1) END AS phrase_match,
+  CASE WHEN len(hits) = 0 THEN 0 WHEN m > 1 THEN least(1, m / (list_max(hits) - list_min(hits) + 1)) ELSE 1 END AS proximity FROM cov),
+explained AS (SELECT *, 0.5 * token_coverage + 0.3 * phrase_match + 0.2 * proximity AS combined_score FROM parts)"""
+_WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+
+
+def _n_chars(t: str) -> str:
+    return f"octet_length(encode({t}))"
+
+
+SQL = {
+    "bm25_topk": f"WITH {_BATCH}, {_INDEX}, {_bm25(10)} {_OUT} sparse",
+    "bm25_plus_topk": f"WITH {_BATCH}, {_INDEX}, {_bm25(10, 1.0)} {_OUT} sparse",
+    "bm25_batch": f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {_INDEX}, {_bm25(5)} {_OUT} sparse",
+    "term_stats": f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term",
+    "doc_lengths": f"WITH {_INDEX} SELECT doc_id, dl FROM dl",
+    "corpus_stats": f"WITH {_INDEX} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS vocabulary, (SELECT sum(tf)::BIGINT FROM post) AS n_tokens FROM corpus",
+    "stopword_filtered_tokens": f"""WITH t AS (SELECT doc_id, {_tok("text")} AS tk FROM documents), f AS (SELECT doc_id, tk, list_filter(tk, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS)})) AS fk FROM t)
+SELECT doc_id, len(tk)::BIGINT AS n_tokens, len(fk)::BIGINT AS n_filtered, md5(array_to_string(fk, ' ')) AS digest FROM f""",
+    "token_bigrams": f"""WITH t AS (SELECT {_tok("text")} AS tk FROM documents), g AS (SELECT unnest(list_transform(range(1, len(tk)), lambda i: {{'first': tk[i], 'second': tk[i + 1]}})) AS g FROM t)
+SELECT g.first AS first, g.second AS second, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 5""",
+    **{f"dense_{m}_topk": f"WITH {_dense_sql(m)} {_OUT} dense" for m in ("cosine", "dot", "euclidean")},
+    "vector_functions": f"""WITH e AS (SELECT vec_id, {_V} AS a FROM embeddings), p AS (SELECT e.vec_id, e.a, o.a AS b FROM e JOIN e o ON o.vec_id = e.vec_id + 1)
+SELECT vec_id, round(list_dot_product(a, b), 6) AS dot, round(sqrt(list_dot_product(a, a)), 6) AS norm, round(list_cosine_similarity(a, b), 6) AS cosine, round(1 / (1 + list_distance(a, b)), 6) AS euclidean FROM p""",
+    "l2_normalize": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS a FROM embeddings)
+SELECT vec_id, (unnest(range(1, len(a) + 1)) - 1)::INT AS pos, round(unnest(list_transform(a, lambda x: x / sqrt(list_dot_product(a, a)))), 6) AS x FROM e""",
+    "rrf_fusion": f"WITH {_LISTS}, {_fusion_sql(_RRF)} {_FUSED}",
+    "weighted_fusion": f"WITH {_LISTS}, {_fusion_sql('''(CASE WHEN hi - lo < 1e-6 THEN 1 ELSE (score - lo) / (hi - lo) END) * CASE WHEN side = 'dense' THEN 0.7::DOUBLE ELSE 1 - 0.7::DOUBLE END''')} {_FUSED}",
+    "borda_fusion": f"WITH {_LISTS}, {_fusion_sql('(n - r + 1)::DOUBLE', raw=False)} {_FUSED}",
+    "minmax_norm": f"WITH {_LISTS} SELECT query_id, doc_id, round(score, 6) AS score, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS normalized FROM sparse WINDOW w AS (PARTITION BY query_id)",
+    "zscore_norm": f"WITH {_LISTS} SELECT query_id, doc_id, round(score, 6) AS score, round(CASE WHEN stddev_pop(score) OVER w < 1e-6 THEN 0 ELSE (score - avg(score) OVER w) / (stddev_pop(score) OVER w) END, 6) AS normalized FROM sparse WINDOW w AS (PARTITION BY query_id)",
+    "hybrid_search_filtered": f"WITH {_wide(30)} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, lang FROM found JOIN documents USING (doc_id) WHERE {_WANT} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10".replace("rank, lang FROM found", "rank, lang FROM (SELECT query_id, doc_id, score FROM found)"),
+    "hybrid_search_prefiltered": f"WITH {_wide(30, f'(SELECT * FROM documents WHERE {_WANT})', f'(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE {_WANT}))')} SELECT query_id, doc_id, round(score, 6) AS score, rank, lang FROM found JOIN documents USING (doc_id) WHERE rank <= 10",
+    "hybrid_search_plain": f"WITH {_wide(20)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM found WHERE rank <= 10",
+    "metadata_predicates": """SELECT doc_id, coalesce(quality = 1, false) AS p_eq, NOT coalesce(quality = 1, false) AS p_ne, lang IN ('de', 'fr') AS p_in, NOT coalesce(toxic = 1, false) AS p_not_in,
+ n_chars > 1000 AS p_gt, coalesce(quality >= 1, false) AS p_gte, coalesce(toxic < 1, false) AS p_lt, n_chars <= 500 AS p_lte, contains(source, 'rc1') AS p_contains,
+ lang = 'en' AND NOT coalesce(toxic = 1, false) AS p_and, lang = 'es' OR n_chars > 5000 AS p_or, true AS p_empty_and, false AS p_empty_or, NOT coalesce(toxic < 1, false) AS p_not, false AS p_kind
+FROM documents LEFT JOIN labels USING (doc_id)""",
+    "variant_predicates": """WITH e AS (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_type(props, '$.k') AS t FROM events)
+SELECT event_id, coalesce(k > 50 AND t <> 'VARCHAR', false) AS p_gt, coalesce(k <= 10 AND t <> 'VARCHAR', false) AS p_lte, coalesce(k = 7 AND t IN ('UBIGINT', 'BIGINT'), false) AS p_eq, true AS p_ne, false AS p_contains FROM e""",
+    "cross_encoder_explain": f"WITH {_BATCH}, {_EXPLAIN} SELECT query_id, doc_id, round(token_coverage, 6) AS token_coverage, round(phrase_match, 6) AS phrase_match, round(proximity, 6) AS proximity, round(combined_score, 6) AS combined_score FROM explained",
+    "cross_encoder_rerank": f"""WITH {_BATCH}, {_INDEX}, {_bm25(30)}, {_EXPLAIN},
+x AS (SELECT query_id, doc_id, rank AS initial_rank, 0.7::DOUBLE * round(combined_score, 6) + (1 - 0.7::DOUBLE) * round(score, 6) AS s FROM sparse JOIN explained USING (query_id, doc_id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, initial_rank)::INT AS new_rank FROM x)
+SELECT query_id, doc_id, round(s, 6) AS reranked_score, initial_rank, new_rank, initial_rank - new_rank AS rank_delta FROM y WHERE new_rank <= 10""",
+    "context_assembly": f"""WITH {_BATCH}, {_INDEX}, {_bm25(5)},
+b AS (SELECT query_id, rank, s.doc_id, '[' || rank || '] (' || s.doc_id || '): ' || text AS block FROM sparse s JOIN documents USING (doc_id)),
+g AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS doc_count, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS cited FROM b GROUP BY query_id)
+SELECT query_id, md5(context) AS digest, doc_count, {_n_chars("context")}::BIGINT AS total_chars, false AS was_truncated, cited FROM g""",
+    "chunk_fixed_chars": f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')), l AS (SELECT *, greatest(0, ceil((n - 500) / 450)::INT) AS last FROM d),
+w AS (SELECT doc_id, text, last, unnest(range(0, last + 1)) AS w FROM l), p AS (SELECT doc_id, w, last, substr(text, w * 450 + 1, 500) AS piece, {_n_chars("substr(text, 1, w * 450)")} AS s FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS i FROM p WHERE {_n_chars("regexp_replace(piece, '^\\s+|\\s+$', '', 'g')")} >= 10 OR last = 0)
+SELECT doc_id, i::INT AS chunk_index, doc_id || '_chunk_' || i AS chunk_id, s::BIGINT AS start_char, (s + {_n_chars("piece")})::BIGINT AS end_char, md5(piece) AS digest FROM k""",
+    "semantic_cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {_V} AS b FROM embeddings WHERE vec_id % 7 = 0 AND 5000 - vec_id * 10 < 4000), q AS (SELECT vec_id AS query_id, {_V} AS a FROM embeddings WHERE vec_id % 50 = 3)
+SELECT query_id, entry_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM q, e WHERE list_cosine_similarity(a, b) >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(a, b) DESC, entry_id) = 1""",
+    "cache_invalidate": "SELECT vec_id AS entry_id, vec_id * 10 AS created_at FROM embeddings WHERE vec_id % 7 = 0 AND label <> 3",
+    "cache_insert": "SELECT vec_id AS entry_id, vec_id * 10 AS last_accessed FROM embeddings WHERE vec_id % 7 = 0 AND (vec_id % 2 = 1 OR 5000 - vec_id * 10 < 4000) ORDER BY 2 DESC, 1 DESC LIMIT 30",
+    "ir_metrics": f"""WITH {_BATCH}, {_INDEX}, {_bm25(20)}, rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), nr AS (SELECT count(*) AS nr FROM rel),
+h AS (SELECT query_id, rank, rel.doc_id IS NOT NULL AS hit FROM sparse LEFT JOIN rel USING (doc_id)),
+ideal AS (SELECT sum(1 / log2(i + 2)) AS ideal FROM nr, range(0, 20) r(i) WHERE i < nr)
+SELECT query_id, round(coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0), 6) AS mrr, round(count(*) FILTER (hit) / 20, 6) AS precision, round(count(*) FILTER (hit) / max(nr), 6) AS recall,
+ CASE WHEN bool_or(hit) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_rate, round(coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1) END), 0) / max(ideal), 6) AS ndcg FROM h, nr, ideal GROUP BY query_id""",
+    "self_eval": f"""WITH first AS (SELECT doc_id AS query_id, array_to_string({_WORDS.format("text")}[1:3], ' ') AS text FROM documents ORDER BY doc_id LIMIT 10), {_INDEX}, {_bm25(10, q="first")},
+s AS (SELECT query_id, (SELECT rank FROM sparse WHERE sparse.query_id = first.query_id AND doc_id = first.query_id) AS r FROM first)
+SELECT round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr, round(avg(CASE WHEN r IS NULL THEN 0 ELSE 0.1::DOUBLE END), 6) AS precision, round(avg(CASE WHEN r IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS recall,
+ round(avg(CASE WHEN r IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS hit_rate, round(avg(coalesce(1 / log2(r + 1), 0)), 6) AS ndcg, count(*) AS n_samples FROM s""",
+    "memory_recall": f"""WITH {_BATCH}, e AS (SELECT conv_id * 1000 + turn AS id, text AS content, conv_id * 60 + turn AS ts, (turn % 10) / 10 AS importance FROM conversations),
+w AS (SELECT query_id, id, ts, importance, list_distinct({_WORDS.format("q.text")}) AS qw, list_distinct({_WORDS.format("content")}) AS cw FROM q, e),
+i AS (SELECT *, len(list_filter(qw, lambda x: list_contains(list_transform(cw, lambda c: lower(c)), lower(x)))) AS n FROM w),
+s AS (SELECT query_id, id, importance, CASE WHEN len(cw) = 0 THEN 0 ELSE n / (len(qw) + len(cw) - n) END AS relevance, exp(-ln(2) * (100000 - ts) / 36000) AS recency FROM i)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * relevance + 0.3 * recency + 0.2 * importance DESC, id)::INT AS rank, id, round(0.5 * relevance + 0.3 * recency + 0.2 * importance, 6) AS score, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(importance, 6) AS importance FROM s QUALIFY rank <= 10""",
+    "ingest_report": f"""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum({_n_chars("text")})::BIGINT FROM documents) AS bytes, (WITH d AS (SELECT text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
+ l AS (SELECT *, greatest(0, ceil((n - 500) / 450)::INT) AS last FROM d), w AS (SELECT text, last, unnest(range(0, last + 1)) AS w FROM l)
+ SELECT count(*) FROM w WHERE {_n_chars("regexp_replace(substr(text, w * 450 + 1, 500), '^\\s+|\\s+$', '', 'g')")} >= 10 OR last = 0) AS chunks""",
+}
