@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import retrieval_queries
+from .plans import kv_queries, retrieval_queries, workflow_queries
 
-_PARTS = [retrieval_queries]
+_PARTS = [retrieval_queries, kv_queries, workflow_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

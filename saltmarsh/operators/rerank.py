@@ -1,65 +1,85 @@
 """Reranking: lexical cross-encoder scores, weighted reranking, maximal marginal relevance.
 
-The cross-encoder is relational: token positions of the few candidates are exploded, joined with the query's tokens and
-bigrams, and aggregated once per (query, document). MMR is a greedy sequence, so each query's candidates (three times
+The cross-encoder is an Arrow function over the pairs, one pass without a shuffle. MMR is a greedy sequence, so each query's candidates (three times
 top_k at most) go to one grouped pandas function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.vector import clamp
 
 WEIGHTS = (0.5, 0.3, 0.2)
 ALPHA = 0.7
 
 
-def explain(pairs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """pairs (query_id, doc_id, query, text) -> (query_id, doc_id, token_coverage, phrase_match, proximity, combined_score).
+PARTS = ("token_coverage", "phrase_match", "proximity", "combined_score")
+
+
+def score_pair(q: list[str], d: list[str], weights: tuple[float, float, float] = WEIGHTS) -> tuple[float, float, float, float]:
+    """(coverage, phrase, proximity, combined) of the tokens of a query and of a document.
 
-    Coverage counts the query's tokens with repeats; a phrase is a matched bigram of the query; proximity is the number of
-    matched query tokens over the stretch of the document that they span, 1 for a single one. An empty side gives zeros.
+    Coverage counts the query's tokens with repeats; phrase is the share of its bigrams that the document has, coverage for
+    a single token; proximity is the number of matched query tokens over the stretch of the document that they span, 1
+    for a single one. An empty side gives zeros.
     """
-    key = ["query_id", "doc_id"]
-    q = pairs.select(*key, T.tokens(F.col("query")).alias("q"), T.tokens(F.col("text")).alias("d"))
-    order = Window.partitionBy(*key).orderBy("pos")
-    doc = q.select(*key, "q", F.posexplode("d").alias("pos", "t")).withColumn("next", F.lead("t").over(order)).where(F.array_contains("q", F.col("t")))
-    hits = doc.groupBy(*key).agg(
-        F.collect_set("t").alias("seen"),
-        F.collect_set(F.when(F.col("next").isNotNull(), F.concat_ws(" ", "t", "next"))).alias("seen_pairs"),
-        F.min("pos").alias("first"),
-        F.max("pos").alias("last"),
-    )
-    x = q.join(hits, key, "left")
-    matched = F.size(F.filter("q", lambda t: F.coalesce(F.array_contains(F.col("seen"), t), F.lit(False))))
-    nq, nd = F.size("q"), F.size("d")
-    grams = F.filter(T.bigrams(F.col("q")), lambda g: F.coalesce(F.array_contains(F.col("seen_pairs"), F.concat_ws(" ", g["first"], g["second"])), F.lit(False)))
-    empty = (nq == 0) | (nd == 0)
-    x = x.select(
-        *key,
-        F.when(empty, 0.0).otherwise(matched / nq).alias("token_coverage"),
-        F.when(empty, 0.0).when(nq == 1, matched / nq).when(nd < 2, 0.0).otherwise(F.try_divide(F.size(grams), nq - 1)).alias("phrase_match"),
-        F.when(empty | F.col("first").isNull(), 0.0).when(matched > 1, clamp(matched / (F.col("last") - F.col("first") + 1))).otherwise(1.0).alias("proximity"),
-    )
-    a, b, c = weights
-    return x.withColumn("combined_score", F.col("token_coverage") * a + F.col("phrase_match") * b + F.col("proximity") * c)
+    if not q or not d:
+        return 0.0, 0.0, 0.0, 0.0
+    in_doc, in_query = set(d), set(q)
+    matched = sum(t in in_doc for t in q)
+    coverage = matched / len(q)
+    if len(q) == 1:
+        phrase = coverage
+    elif len(d) < 2:
+        phrase = 0.0
+    else:
+        have = set(zip(d, d[1:]))
+        phrase = sum(g in have for g in zip(q, q[1:])) / (len(q) - 1)
+    hits = [i for i, t in enumerate(d) if t in in_query]
+    proximity = 0.0 if not hits else min(1.0, matched / (hits[-1] - hits[0] + 1)) if matched > 1 else 1.0
+    return coverage, phrase, proximity, coverage * weights[0] + phrase * weights[1] + proximity * weights[2]
+
+
+def explained(pairs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """pairs (query, text, ...) with the four scores. One pass over the pairs in Arrow batches, without a shuffle; the
+    token arrays come from the same expressions as everywhere else."""
+    kept = pairs.drop(*PARTS)
+    schema = StructType([*kept.schema.fields, *[StructField(p, DoubleType()) for p in PARTS]])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, d = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            found = [score_pair(x, y, weights) for x, y in zip(q, d)]
+            new = [pa.array([f[k] for f in found], pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names)
+
+    return kept.select("*", T.tokens(F.col("query")).alias("__q"), T.tokens(F.col("text")).alias("__d")).mapInArrow(run, schema)
+
+
+def explain(pairs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """pairs (query_id, doc_id, query, text) -> (query_id, doc_id, and the four scores)."""
+    return explained(pairs.select("query_id", "doc_id", "query", "text"), weights).drop("query", "text")
 
 
 def rerank(candidates: DataFrame, k: int, alpha: float = ALPHA, scores: DataFrame | None = None) -> DataFrame:
-    """candidates (query_id, doc_id, query, text, score) by alpha * cross-encoder + (1 - alpha) * score.
+    """candidates (query_id, doc_id, query, text, score, ...) by alpha * cross-encoder + (1 - alpha) * score.
 
     ``scores`` (query_id, doc_id, combined_score) replaces the built-in scorer by a user's model. Adds new_rank and
     rank_delta (initial - new); ties keep the initial order.
     """
     a = min(1.0, max(0.0, alpha))
-    cross = scores if scores is not None else explain(candidates)
+    x = explained(candidates) if scores is None else candidates.join(scores, ["query_id", "doc_id"])
     initial = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    x = candidates.withColumn("initial_rank", F.row_number().over(initial)).join(cross, ["query_id", "doc_id"])
+    x = x.withColumn("initial_rank", F.row_number().over(initial))
     x = x.withColumn("original_score", F.col("score").cast("double")).withColumn("reranked_score", F.col("combined_score") * a + F.col("original_score") * (1 - a))
     new = Window.partitionBy("query_id").orderBy(F.desc("reranked_score"), "initial_rank")
     x = x.withColumn("new_rank", F.row_number().over(new)).withColumn("rank_delta", F.col("initial_rank") - F.col("new_rank"))
@@ -110,4 +130,4 @@ def mmr(candidates: DataFrame, k: int, lam: float = 0.5) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(run, schema)
 
 
-__all__ = ["explain", "rerank", "mmr", "mmr_order", "clamp"]
+__all__ = ["explain", "explained", "rerank", "mmr", "mmr_order"]

@@ -39,10 +39,14 @@ def capability(required: Column, capabilities: Column) -> Column:
     return F.when(F.size(required) == 0, 1.0).otherwise(F.try_divide(have, F.size(required)))
 
 
+def _is(name: str):
+    return lambda x: x == name
+
+
 def role_affinity(required: Column, role: Column, title: Column, description: Column) -> Column:
     text, bonus = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))), F.lit(0.5)
     for cap, suits, value in ROLE_BONUS:
-        n = F.size(F.filter(required, lambda r, cap=cap: r == cap))
+        n = F.size(F.filter(required, _is(cap)))
         bonus = bonus + F.when(role == suits, n * value).otherwise(0.0)
     for suits, keywords in ROLE_WORDS.items():
         bonus = bonus + F.when((role == suits) & contains_any(text, *keywords), 0.2).otherwise(0.0)

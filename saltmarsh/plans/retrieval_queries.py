@@ -174,8 +174,7 @@ def cross_encoder_explain(spark, sf):
 
 def cross_encoder_rerank(spark, sf):
     x = _pairs(spark, sf).withColumn("score", F.round("score", 6))
-    cross = R.explain(x).withColumn("combined_score", F.round("combined_score", 6))
-    return R.rerank(x, 10, scores=cross).select("query_id", "doc_id", _r("reranked_score"), "initial_rank", "new_rank", "rank_delta")
+    return R.rerank(x, 10).select("query_id", "doc_id", _r("reranked_score"), "initial_rank", "new_rank", "rank_delta")
 
 
 def mmr_rerank(spark, sf):
@@ -384,7 +383,7 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
 SELECT event_id, coalesce(k > 50 AND t <> 'VARCHAR', false) AS p_gt, coalesce(k <= 10 AND t <> 'VARCHAR', false) AS p_lte, coalesce(k = 7 AND t IN ('UBIGINT', 'BIGINT'), false) AS p_eq, true AS p_ne, false AS p_contains FROM e""",
     "cross_encoder_explain": f"WITH {_BATCH}, {_EXPLAIN} SELECT query_id, doc_id, round(token_coverage, 6) AS token_coverage, round(phrase_match, 6) AS phrase_match, round(proximity, 6) AS proximity, round(combined_score, 6) AS combined_score FROM explained",
     "cross_encoder_rerank": f"""WITH {_BATCH}, {_INDEX}, {_bm25(30)}, {_EXPLAIN},
-x AS (SELECT query_id, doc_id, rank AS initial_rank, 0.7::DOUBLE * round(combined_score, 6) + (1 - 0.7::DOUBLE) * round(score, 6) AS s FROM sparse JOIN explained USING (query_id, doc_id)),
+x AS (SELECT query_id, doc_id, rank AS initial_rank, 0.7::DOUBLE * combined_score + (1 - 0.7::DOUBLE) * round(score, 6) AS s FROM sparse JOIN explained USING (query_id, doc_id)),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, initial_rank)::INT AS new_rank FROM x)
 SELECT query_id, doc_id, round(s, 6) AS reranked_score, initial_rank, new_rank, initial_rank - new_rank AS rank_delta FROM y WHERE new_rank <= 10""",
     "context_assembly": f"""WITH {_BATCH}, {_INDEX}, {_bm25(5)},
