@@ -57,7 +57,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
 def _turn(docs: DataFrame, rows: list, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
     ids = np.array([r.query_id for r in rows], np.int64)
-    q = np.array([r.embedding for r in rows], float).reshape(len(rows), -1)
+    q = np.array([r.embedding for r in rows], float) if rows else np.zeros((0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
