@@ -2,10 +2,10 @@
 
 Vectors are quantised to integers. A task packs its vectors into blocks of at most ``BLOCK`` and sorts each block once
 by every component: one list of (vector, component) a component. For a query the lists are read sequentially from the end
-that its sign favours, some entries of each list a round. A vector's partial score is the sum of what was read of it;
-upper bound: for each unread component the list's frontier, lower bound: the list's last entry. The k-th best lower bound
-is the threshold. Reading stops when neither a vector that no list has shown nor a partly seen one can pass it,
-or when so few partly seen ones can that their final scores are cheaper to resolve than to read on; those are resolved exactly.
+that its sign favours. Of a vector's upper bound the unread components are the lists' frontiers; the most promising few by
+it are resolved, which makes their lower bounds their true scores, and the k-th best of those is the threshold. Reading
+stops when the frontiers' sum falls below it: a vector that no list has shown can't qualify. Of the others, those
+whose upper bound reaches the threshold have their final scores resolved.
 
 The threshold only prunes vectors whose upper bound is below it, so ties survive and every result is exact. Each block
 gives its own k best of each query, a second step keeps the k best of all blocks. Queries are a written table of
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 K, EVERY, SCALE = 5, 50, 256
-BLOCK, QUERIES = 8_192, 1_024
-#: How deep the rounds read, as shares of a block; and the share of a block that is resolved rather than read on.
-ROUNDS, RESOLVE = (1 / 16, 1 / 4, 7 / 16, 5 / 8, 1), 1 / 8
+BLOCK, QUERIES = 16_384, 1_024
+#: How deep the first round reads, as a share of a block.
+FIRST = 1 / 32
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -56,7 +56,7 @@ class SortedLists:
         #: places in the (component, vector) matrices below
         self.places = lists + np.tile(np.arange(self.dims) * self.n, 2)[:, None]
         self.largest = int(np.abs(self.vectors).max(initial=0))
-        self.buffers: dict[type, tuple[np.ndarray, np.ndarray]] = {}
+        self.buffers: dict[type, tuple[np.ndarray, ...]] = {}
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best by (score, id), without those of the id ``own``."""
@@ -64,36 +64,40 @@ class SortedLists:
         # Sums of integers are exact in either type as long as they stay below its mantissa.
         kind = np.float32 if int(np.abs(q).sum()) * self.largest < 1 << 24 else np.float64
         if kind not in self.buffers:
-            self.buffers[kind] = np.zeros((dims, n), kind), np.zeros((dims, n), kind)
-        part, read = self.buffers[kind]
-        part.fill(0)
-        read.fill(0)
-        lists = np.arange(dims) + dims * (q < 0)
-        last = q * self.values[lists, -1]
-        alive = others = np.flatnonzero(self.ids != own)
-        depth = 0
-        for share in ROUNDS:
-            if len(others) <= k or n <= 16 * k:
-                break  # nothing to save
-            to = max(depth + 1, min(n, int(n * share)))
-            at = self.places[lists, depth:to]
-            part.ravel()[at] = q[:, None] * self.values[lists, depth:to]
-            read.ravel()[at] = 1
-            depth = to
-            frontier = q * self.values[lists, depth - 1]
-            partial = np.ones(dims, kind) @ part
-            bound = np.stack([frontier, last]).astype(kind) @ read
-            upper, lower = (partial + frontier.sum() - bound[0])[alive], (partial + last.sum() - bound[1])[alive]
-            threshold = np.partition(lower, -k)[-k] if len(alive) > k else -np.inf
-            # True scores of the most promising are lower bounds that are better still.
-            best = alive[np.argpartition(upper, -4 * k)[-4 * k :]] if len(alive) > 4 * k else alive
-            threshold = max(threshold, np.partition(self.vectors[best] @ q, -k)[-k]) if len(best) >= k else threshold
+            self.buffers[kind] = np.zeros((dims, n), kind), self.vectors.astype(kind), self.values.astype(kind)
+        above, vectors, values = self.buffers[kind]
+        weights, ones = q.astype(kind), np.ones(dims, kind)
+        alive = np.flatnonzero(self.ids != own)
+        if len(alive) > 4 * k and n > 64:
+            lists = np.arange(dims) + dims * (q < 0)
+            threshold, depth = -np.inf, max(1, int(n * FIRST))
+            while True:
+                # Of each entry read so far, how much it is above its list's frontier; 0 for the unread.
+                frontier = q * self.values[lists, depth - 1]
+                above.fill(0)
+                above.ravel()[self.places[lists, :depth]] = weights[:, None] * values[lists, :depth] - frontier.astype(kind)[:, None]
+                upper = (ones @ above + kind(frontier.sum()))[alive]
+                # Resolving the most promising makes their lower bounds true scores.
+                best = alive[np.argpartition(upper, -4 * k)[-4 * k :]]
+                threshold = max(threshold, np.partition(vectors[best] @ weights, -k)[-k])
+                if depth == n or frontier.sum() < threshold:
+                    break  # what no list has shown can't qualify
+                # Read on, in one go, to the depth at which the lists' ends promise less than the threshold.
+                low, high = depth, n - 1
+                while low < high:
+                    middle = (low + high) // 2
+                    if (q * self.values[lists, middle]).sum() < threshold:
+                        high = middle
+                    else:
+                        low = middle + 1
+                depth = low + 1
             alive = alive[upper >= threshold]
-            if depth == n or frontier.sum() < threshold and len(alive) <= max(4 * k, int(n * RESOLVE)):
-                break
-        scores = self.vectors[alive].astype(np.int64) @ q
+        scores = (vectors @ weights)[alive] if 2 * len(alive) > n else vectors[alive] @ weights
+        if len(alive) > k:
+            few = np.flatnonzero(scores >= np.partition(scores, -k)[-k])  # the k best and what ties with the last
+            alive, scores = alive[few], scores[few]
         order = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][order], scores[order]
+        return self.ids[alive][order], scores[order].astype(np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
