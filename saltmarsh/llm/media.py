@@ -147,7 +147,8 @@ class ArchiveReader(DataSourceReader):
 
         system, root = filesystem(self.manifest)
         rows = ds.dataset(root, filesystem=system, format="parquet").to_table().to_pylist()
-        return [ByteRange(r["path"], at, min(at + self.range_bytes, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], self.range_bytes)]
+        found = [ByteRange(r["path"], at, min(at + self.range_bytes, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], self.range_bytes)]
+        return found or [ByteRange("", 0, 0)]  # Spark asks for one partition at least
 
     def member(self, system, path: str, info: zipfile.ZipInfo) -> bytes:
         """One member by its offset, tried again alone if it can't be read or fails its checksum."""
@@ -167,6 +168,8 @@ class ArchiveReader(DataSourceReader):
         raise error
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         system, path = filesystem(partition.path)
         with system.open_input_file(path) as f:
             infos = zipfile.ZipFile(f).infolist()

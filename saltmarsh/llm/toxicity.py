@@ -8,6 +8,9 @@ counts as clean. So the trained model also locates offending sentences.
 Each distinct word of a sentence counts once; its weight sums those of its features: the word and its first 4 to 6
 letters. Features are kept as strings, so there are no hash collisions and an unknown word weighs nothing.
 
+Features enter training only if they stand in toxic documents more often than chance explains, so that a few labels
+don't teach noise.
+
 Training uses a bounded sample: the first ``sample`` labelled documents of each class by a hash key, outside the
 held-out part; classes are weighted back halfway to their shares of all labelled documents.
 
@@ -22,6 +25,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, hash_key, remainder, slices
 
-SAMPLE, MIN_DOCS, ROUNDS = 2_000, 5, 150
+SAMPLE, MIN_DOCS, Z, ROUNDS = 2_000, 4, 3.0, 150
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
 MOD, HELD = 3, 1
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -84,7 +88,9 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     if len(set(labels)) < 2:
         return Model({}, 0.0)
     words: dict[str, int] = {}
-    token, sentence_of, doc_of, df = array("i"), array("i"), array("i"), Counter()
+    parts: list[set[str]] = []  # features by word
+    token, sentence_of, doc_of = array("i"), array("i"), array("i")
+    n_docs, n_toxic = Counter(), Counter()  # by feature
     for d, text in enumerate(texts):
         own = set()
         for m in SENTENCE.finditer(text):
@@ -93,13 +99,17 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
             token.extend(ids)
             sentence_of.extend([len(doc_of)] * len(ids))
             doc_of.append(d)
-        df.update(own)
-    n_docs: Counter = Counter()  # documents of a feature, at most: the sum over its words
-    for k, w in enumerate(words):
-        for f in features(w):
-            n_docs[f] += df[k]
-    names = {f: k for k, f in enumerate(sorted(f for f, n in n_docs.items() if n >= min_docs))}
-    pairs = array("i", (x for k, w in enumerate(words) for f in features(w) if f in names for x in (k, names[f])))
+        parts += [features(w) for w in islice(words, len(parts), None)]
+        found = set().union(*map(parts.__getitem__, own))
+        n_docs.update(found)
+        if labels[d]:
+            n_toxic.update(found)
+    # Features that stand in toxic documents more often than chance explains; the rest could only fit noise.
+    rate = sum(labels) / len(labels)
+    names = {f: k for k, f in enumerate(sorted(f for f, n in n_docs.items() if n >= min_docs and n_toxic[f] - n * rate >= Z * (n * rate * (1 - rate)) ** 0.5))}
+    if not names:
+        return Model({}, 0.0)
+    pairs = array("i", (x for k, fs in enumerate(parts) for f in fs if f in names for x in (k, names[f])))
     pw, pf = np.array(pairs, np.int32).reshape(-1, 2).T
     token, sentence_of, doc_of = (np.array(x, np.int32) for x in (token, sentence_of, doc_of))
     y = np.array(labels)[: len(texts)]
