@@ -19,19 +19,25 @@ import hashlib
 import heapq
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, slices
+from .common import scratch, sized_slices, slices
 from .lexicon import Lexicon, build
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Longest word that is merged among others and kept; how many are kept, or up to twice as many.
+SHORT, KNOWN = 48, 120_000
+#: A comma or full stop after anything but a letter or numeral, or at the start.
+JOINED = re.compile(r"(?:[\W_]|\A)[,.]")
 LEXICON_WORDS = 65_536
 ID_BITS = 32
 ID_MASK, NEVER = (1 << ID_BITS) - 1, 1 << 62
@@ -81,10 +87,14 @@ class Codec:
             self.bytes[added["id"]] = added["content"].encode()
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.lexicon = lexicon
-        #: id as text -> bytes; part -> its ids joined by commas; pre-token -> ids
-        self.text_bytes = {str(i): b for i, b in self.bytes.items()}
-        self.parts = Memo(self._part, 400_000)
-        self.tokens = Memo(self.merge, 100_000)
+        # The same merges as sorted arrays, for many words at once.
+        pairs = np.array(list(self.merges), np.int64).reshape(-1, 2)
+        order = np.argsort(keys := pairs[:, 0] << ID_BITS | pairs[:, 1])
+        self.pair_keys, self.pair_merges = keys[order], np.array(list(self.merges.values()), np.int64)[order]
+        self.byte_array = np.array(self.byte_ids, np.int64)
+        #: part -> (its ids joined by commas, its bytes), for the last parts met
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, token: str) -> list[int]:
         """The ids of one pre-token: the lowest-rank pair merges first, leftmost of equals."""
@@ -120,25 +130,81 @@ class Codec:
                 heapq.heappush(heap, (m, h, ids[h], new))
         return [i for i in ids if i is not None]
 
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """merge() of many short pre-tokens: each round merges the best pair of every word."""
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        ids = self.byte_array[np.frombuffer(b"".join(data), np.uint8)]
+        word = np.repeat(np.arange(len(words)), size)
+        out: list[list[int]] = [[] for _ in words]
+
+        def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << ID_BITS | b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            return np.where(self.pair_keys[at] == key, self.pair_merges[at], NEVER)
+
+        rank = np.full(len(ids), NEVER)  # of each symbol with the one after it
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = best(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            counts = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(rank, starts)
+            done = least == NEVER
+            if done.any():
+                gone = np.repeat(done, counts)
+                flat = ids[gone].tolist()
+                at = 0
+                for w, n in zip(word[starts[done]].tolist(), counts[done].tolist()):
+                    out[w] = flat[at : at + n]
+                    at += n
+                ids, word, rank = ids[~gone], word[~gone], rank[~gone]
+                least, counts = least[~done], counts[~done]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, counts))
+            at = hit[np.concatenate(([True], word[hit][1:] != word[hit][:-1]))]  # leftmost of each word
+            ids[at] = least & ID_MASK
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            # The merged symbol takes the rank of the one that goes with what follows; both neighbours are ranked anew.
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            at = at - np.arange(len(at))
+            rank[at] = NEVER
+            right = at[(at + 1 < len(ids)) & (word[np.minimum(at + 1, len(ids) - 1)] == word[at])]
+            rank[right] = best(ids[right], ids[right + 1])
+            left = at[(at > 0) & (word[at - 1] == word[at])]
+            rank[left - 1] = best(ids[left - 1], ids[left])
+        return out
+
     def exact(self, text: str) -> list[int]:
         """The ids of a text without special tokens, through the pattern."""
-        found: list[int] = []
-        for token in PATTERN.findall(text):
-            found += self.tokens[token]
-        return found
+        return [i for token in PATTERN.findall(text) for i in self.merge(token)]
 
-    def _part(self, part: str) -> str:
+    def _ids(self, part: str) -> list[int]:
         # A special token's string is always cut out, so no other part is equal to it.
-        return ",".join(map(str, [self.special[part]] if part in self.special else self.exact(part)))
-
-    def learn(self, parts: set[str]) -> None:
-        """Looks all of these parts up in the transducer, those found need no merging."""
-        if self.lexicon is None:
-            return
-        new = [p for p in parts if p not in self.parts and p not in self.parts.older]
-        for part, number in zip(new, self.lexicon.numbers([p.encode() for p in new]).tolist()):
-            if number >= 0 and len(self.parts) < self.parts.limit:
-                self.parts[part] = ",".join(map(str, self.lexicon.ids_of(number)))
+        return [self.special[part]] if part in self.special else self.exact(part)
+
+    def _entry(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
+
+    def entries(self, parts: set[str]) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, bytes) of each part: from the last ones met, from the transducer, or by merging."""
+        known, older = self.known, self.older
+        found = {p: e for p in parts if (e := known.get(p) or older.get(p)) is not None}
+        new = [p for p in parts if p not in found]
+        if self.lexicon is not None:
+            numbers = self.lexicon.numbers([p.encode() for p in new]).tolist()
+            found |= {p: self._entry(self.lexicon.ids_of(n)) for p, n in zip(new, numbers) if n >= 0}
+            new = [p for p, n in zip(new, numbers) if n < 0]
+        # A word of letters, with or without a space before it, is one pre-token.
+        simple = [p for p in new if len(p) <= SHORT and (p[1:] if p[0] == " " else p).isalpha()]
+        found |= {p: self._entry(ids) for p, ids in zip(simple, self.merge_many(simple))}
+        found |= {p: self._entry(self._ids(p)) for p in new if p not in found}
+        if len(known) > KNOWN:
+            self.older, self.known = known, {}
+        self.known |= {p: e for p, e in found.items() if len(p) <= SHORT}
+        return found
 
     def split(self, text: str) -> list[str]:
         """Parts of which each can be encoded by itself; joined they are the text. Special tokens are parts."""
@@ -147,8 +213,12 @@ class Codec:
         if self.cut is not None and any(s in text for s in self.special):
             return [p for s in self.cut.split(text) for p in ([s] if s in self.special else self.split(s))]
         if text.replace("\n", " ") == " ".join(text.split()) and "\x00" not in text:
-            # No white space but single spaces and line feeds between words: each starts a part.
-            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+            # No white space but single spaces and line feeds between words: each starts a part. So does a comma or full
+            # stop, unless it may belong to a run of such characters or to the space before it.
+            text = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
+            if JOINED.search(text) is None:
+                text = text.replace(",", "\x00,").replace(".", "\x00.")
+            return text.split("\x00")
         # A piece that has white space at an end, or is empty, takes its neighbours along.
         out: list[str] = []
         glue = False
@@ -161,12 +231,10 @@ class Codec:
             glue = not piece or piece[-1].isspace()
         return [p for p in out if p]
 
-    def line(self, parts: list[str]) -> str:
-        """The ids of the parts, joined by commas."""
-        return ",".join(map(self.parts.__getitem__, parts))
-
     def encode(self, text: str) -> list[int]:
-        return list(map(int, self.line(parts).split(","))) if (parts := self.split(text)) else []
+        parts = self.split(text)
+        lines = self.entries(set(parts))
+        return [int(i) for p in parts for i in lines[p][0].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -225,7 +293,8 @@ def fit(df: DataFrame, tokenizer: str | None = None, words: int = LEXICON_WORDS,
     exact = Codec(tokenizer or default_tokenizer())
     frequent = frequent_words(df, words, text_col)
     # As a text's first part and after a space; a text's parts with other white space in them are words too.
-    parts = [p for w in frequent for p in (" " + w, w) if exact.split(w) == [w] and w not in exact.special]
+    words = {q for w in frequent for q in exact.split(w) if q not in exact.special}
+    parts = sorted({p for w in words for p in (" " + w, w) if exact.split(w) == [w]})
     return publish(df.sparkSession, build((p.encode(), exact.exact(p)) for p in parts), "lexicon")
 
 
@@ -235,19 +304,19 @@ def encode(df: DataFrame, tokenizer: str | None = None, lexicon: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, lexicon)
-        for batch in slices(batches, 64):
+        for batch in sized_slices(batches, 1, 4_000_000):
             parts = [own.split(t or "") for t in batch.column(1).to_pylist()]
-            own.learn(set().union(*parts))
+            entries = own.entries(set().union(*parts))
+            lines, raw = {p: e[0] for p, e in entries.items()}, {p: e[1] for p, e in entries.items()}
             n, digests, decoded, ids = [], [], [], []
             for own_parts in parts:
-                line = own.line(own_parts)
-                found = line.split(",") if line else []
-                back = b"".join(map(own.text_bytes.__getitem__, found)).decode("utf-8", "replace")
-                n.append(len(found))
+                line = ",".join(map(lines.__getitem__, own_parts))
+                back = b"".join(map(raw.__getitem__, own_parts)).decode("utf-8", "replace")
+                n.append(line.count(",") + 1 if line else 0)
                 digests.append(hashlib.sha256(line.encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, found)))
+                    ids.append(list(map(int, line.split(","))) if line else [])
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def sized_slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about so many bytes of text in a column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch.column(column)).to_pylist())])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + chars, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class Memo(dict):
     """word -> value(word), kept for the last ``limit`` to twice ``limit`` words of at most ``longest`` characters."""
 
