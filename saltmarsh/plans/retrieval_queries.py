@@ -212,7 +212,7 @@ def hash_embedding(spark, sf):
 
 
 def _entries(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 7 = 0")
+    e = table(spark, sf, "embeddings")
     fields = F.array(F.struct(F.col("vec_id").alias("doc_id"), F.lit(1.0).alias("score")))
     return e.select(F.col("vec_id").alias("entry_id"), F.lit("q").alias("query"), "embedding", fields.alias("results"), (F.col("vec_id") * 10).alias("created_at"), (F.col("vec_id") * 10).alias("last_accessed"))
 
@@ -221,7 +221,8 @@ _CACHE = C.CacheConfig(capacity=100_000, threshold=0.3, ttl=4_000)
 
 
 def semantic_cache_lookup(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 50 = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    moved = F.transform("embedding", lambda x: x.cast("double") * 0.5 + 0.05)
+    q = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), moved.alias("embedding"))
     return C.lookup(_entries(spark, sf), q, F.lit(5_000), _CACHE).select("query_id", "entry_id", _r("similarity"))
 
 
@@ -394,10 +395,10 @@ SELECT query_id, md5(context) AS digest, doc_count, {_n_chars("context")}::BIGIN
 w AS (SELECT doc_id, text, last, unnest(range(0, last + 1)) AS w FROM l), p AS (SELECT doc_id, w, last, substr(text, w * 450 + 1, 500) AS piece, {_n_chars("substr(text, 1, w * 450)")} AS s FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS i FROM p WHERE {_n_chars("regexp_replace(piece, '^\\s+|\\s+$', '', 'g')")} >= 10 OR last = 0)
 SELECT doc_id, i::INT AS chunk_index, doc_id || '_chunk_' || i AS chunk_id, s::BIGINT AS start_char, (s + {_n_chars("piece")})::BIGINT AS end_char, md5(piece) AS digest FROM k""",
-    "semantic_cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {_V} AS b FROM embeddings WHERE vec_id % 7 = 0 AND 5000 - vec_id * 10 < 4000), q AS (SELECT vec_id AS query_id, {_V} AS a FROM embeddings WHERE vec_id % 50 = 3)
+    "semantic_cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {_V} AS b FROM embeddings WHERE 5000 - vec_id * 10 < 4000), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE * 0.5 + 0.05) AS a FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, entry_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM q, e WHERE list_cosine_similarity(a, b) >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(a, b) DESC, entry_id) = 1""",
-    "cache_invalidate": "SELECT vec_id AS entry_id, vec_id * 10 AS created_at FROM embeddings WHERE vec_id % 7 = 0 AND label <> 3",
-    "cache_insert": "SELECT vec_id AS entry_id, vec_id * 10 AS last_accessed FROM embeddings WHERE vec_id % 7 = 0 AND (vec_id % 2 = 1 OR 5000 - vec_id * 10 < 4000) ORDER BY 2 DESC, 1 DESC LIMIT 30",
+    "cache_invalidate": "SELECT vec_id AS entry_id, vec_id * 10 AS created_at FROM embeddings WHERE label <> 3",
+    "cache_insert": "SELECT vec_id AS entry_id, vec_id * 10 AS last_accessed FROM embeddings WHERE (vec_id % 2 = 1 OR 5000 - vec_id * 10 < 4000) ORDER BY 2 DESC, 1 DESC LIMIT 30",
     "ir_metrics": f"""WITH {_BATCH}, {_INDEX}, {_bm25(20)}, rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), nr AS (SELECT count(*) AS nr FROM rel),
 h AS (SELECT query_id, rank, rel.doc_id IS NOT NULL AS hit FROM sparse LEFT JOIN rel USING (doc_id)),
 ideal AS (SELECT sum(1 / log2(i + 2)) AS ideal FROM nr, range(0, 20) r(i) WHERE i < nr)

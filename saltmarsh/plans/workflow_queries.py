@@ -1,4 +1,4 @@
-"""Registered workflow queries: orders as tasks, suppliers as agents, events as workflow events; and their SQL."""
+"""Registered workflow queries: orders as tasks, nations as agents, events as workflow events; and their SQL."""
 
 from __future__ import annotations
 
@@ -28,15 +28,15 @@ def _tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _agents(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier")
+    s = table(spark, sf, "nation")
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
-    k = F.col("s_suppkey")
-    return s.select(k.alias("agent_id"), pick(ROLES, k % 6).alias("role"), F.array(pick(CAPS, k % 6), pick(CAPS, F.expr("(s_suppkey * 5 + 1) % 6"))).alias("capabilities"), (k % 7).alias("active"), k.alias("ord"))
+    k = F.col("n_nationkey").cast("long")
+    return s.select(k.alias("agent_id"), pick(ROLES, k % 6).alias("role"), F.array(pick(CAPS, k % 6), pick(CAPS, (k * 5 + 1) % 6)).alias("capabilities"), (k % 7).alias("active"), k.alias("ord"))
 
 
 def _route(strategy):
     def run(spark, sf):
-        found = Ro.route(_tasks(spark, sf), _agents(spark, sf).where("agent_id <= 40"), strategy)
+        found = Ro.route(_tasks(spark, sf), _agents(spark, sf), strategy)
         return found.select("task_id", "agent_id", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("fallbacks", lambda x: x.cast("string")), ",").alias("fallbacks"), F.col("error").isNotNull().alias("failed"))
 
     return run
@@ -169,7 +169,7 @@ def _list(names):
 
 _ROUTING = f"""t AS (SELECT o_orderkey AS task_id, {_list(TITLES)}[o_custkey % 6 + 1] || ' ' || o_orderstatus AS txt, (o_orderkey % 4)::INT AS priority,
   CASE WHEN o_orderkey % 7 = 0 THEN []::VARCHAR[] ELSE [{_list(CAPS)}[o_orderkey % 6 + 1], {_list(CAPS)}[o_custkey % 6 + 1]] END AS req FROM orders),
-a AS (SELECT s_suppkey AS agent_id, {_list(ROLES)}[s_suppkey % 6 + 1] AS role, [{_list(CAPS)}[s_suppkey % 6 + 1], {_list(CAPS)}[(s_suppkey * 5 + 1) % 6 + 1]] AS caps, s_suppkey % 7 AS active FROM supplier WHERE s_suppkey <= 40),
+a AS (SELECT n_nationkey::BIGINT AS agent_id, {_list(ROLES)}[n_nationkey % 6 + 1] AS role, [{_list(CAPS)}[n_nationkey % 6 + 1], {_list(CAPS)}[(n_nationkey * 5 + 1) % 6 + 1]] AS caps, n_nationkey % 7 AS active FROM nation),
 x AS (SELECT *, CASE WHEN len(req) = 0 THEN 1 ELSE len(list_filter(req, lambda r: list_contains(caps, r))) / len(req) END AS cap,
   greatest(0, least(1, 0.5::DOUBLE {" ".join(f"+ CASE WHEN role = '{s}' THEN len(list_filter(req, lambda r: r = '{c}')) * {b}::DOUBLE ELSE 0 END" for c, s, b in Ro.ROLE_BONUS)}
   {" ".join(f"+ CASE WHEN role = '{r}' AND ({' OR '.join(f'''contains(lower(txt), '{w}')''' for w in ws)}) THEN 0.2::DOUBLE ELSE 0 END" for r, ws in Ro.ROLE_WORDS.items())})) AS role_score,
