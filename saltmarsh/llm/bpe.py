@@ -30,15 +30,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, sized_slices, slices
+from .common import scratch, sized_slices, slices, written
 from .lexicon import Lexicon, build
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Longest word that is merged among others and kept; how many are kept, or up to twice as many.
-SHORT, KNOWN = 48, 120_000
+SHORT, KNOWN = 48, 200_000
 #: A comma or full stop after anything but a letter or numeral, or at the start.
 JOINED = re.compile(r"(?:[\W_]|\A)[,.]")
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 ID_BITS = 32
 ID_MASK, NEVER = (1 << ID_BITS) - 1, 1 << 62
 
@@ -92,7 +92,8 @@ class Codec:
         order = np.argsort(keys := pairs[:, 0] << ID_BITS | pairs[:, 1])
         self.pair_keys, self.pair_merges = keys[order], np.array(list(self.merges.values()), np.int64)[order]
         self.byte_array = np.array(self.byte_ids, np.int64)
-        #: part -> (its ids joined by commas, its bytes), for the last parts met
+        #: part -> (its ids joined by commas, its bytes): those of the lexicon that were met, and the last others met
+        self.frequent: dict[str, tuple[str, bytes]] = {}
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
@@ -190,21 +191,22 @@ class Codec:
 
     def entries(self, parts: set[str]) -> dict[str, tuple[str, bytes]]:
         """(ids joined by commas, bytes) of each part: from the last ones met, from the transducer, or by merging."""
-        known, older = self.known, self.older
-        found = {p: e for p in parts if (e := known.get(p) or older.get(p)) is not None}
+        frequent, known, older = self.frequent, self.known, self.older
+        found = {p: e for p in parts if (e := frequent.get(p) or known.get(p) or older.get(p)) is not None}
         new = [p for p in parts if p not in found]
-        if self.lexicon is not None:
+        if self.lexicon is not None and len(frequent) < self.lexicon.n_words:
             numbers = self.lexicon.numbers([p.encode() for p in new]).tolist()
-            found |= {p: self._entry(self.lexicon.ids_of(n)) for p, n in zip(new, numbers) if n >= 0}
+            frequent |= (met := {p: self._entry(self.lexicon.ids_of(n)) for p, n in zip(new, numbers) if n >= 0})
+            found |= met
             new = [p for p, n in zip(new, numbers) if n < 0]
         # A word of letters, with or without a space before it, is one pre-token.
         simple = [p for p in new if len(p) <= SHORT and (p[1:] if p[0] == " " else p).isalpha()]
-        found |= {p: self._entry(ids) for p, ids in zip(simple, self.merge_many(simple))}
-        found |= {p: self._entry(self._ids(p)) for p in new if p not in found}
+        merged = dict(zip(simple, map(self._entry, self.merge_many(simple))))
+        merged |= {p: self._entry(self._ids(p)) for p in new if p not in merged}
         if len(known) > KNOWN:
             self.older, self.known = known, {}
-        self.known |= {p: e for p, e in found.items() if len(p) <= SHORT}
-        return found
+        self.known |= {p: e for p, e in merged.items() if len(p) <= SHORT}
+        return found | merged
 
     def split(self, text: str) -> list[str]:
         """Parts of which each can be encoded by itself; joined they are the text. Special tokens are parts."""
@@ -271,9 +273,20 @@ def frequent_words(df: DataFrame, words: int = LEXICON_WORDS, text_col: str = "t
         yield out()
 
     counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    # Long words and those of one document's making are never among the most frequent; ties go by the word.
-    top = counted.where("length(word) between 1 and 48").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r.word for r in top.collect()]
+    counts = counted.where("length(word) between 1 and 48").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    # How many words there are at each step of the count, 8 steps to a doubling: a few hundred rows at any size. The
+    # words above the step that still fits are collected; a sorted limit would send so many from every partition.
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    total, least = 0, None
+    for r in sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
+        total += r.n
+        if total > words:
+            break
+        least = r.step
+    if least is None:
+        return []
+    top = counts.where(F.col("step") >= least).select("word", "n").collect()
+    return [r.word for r in sorted(top, key=lambda r: (-r.n, r.word))]
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:
@@ -294,7 +307,9 @@ def fit(df: DataFrame, tokenizer: str | None = None, words: int = LEXICON_WORDS,
     frequent = frequent_words(df, words, text_col)
     # As a text's first part and after a space; a text's parts with other white space in them are words too.
     words = {q for w in frequent for q in exact.split(w) if q not in exact.special}
-    parts = sorted({p for w in words for p in (" " + w, w) if exact.split(w) == [w]})
+    # A word in lower case seldom begins a text or line; without its space it needs no entry.
+    words = {w for w in words if exact.split(w) == [w]}
+    parts = sorted({" " + w for w in words} | {w for w in words if not w[0].islower()})
     return publish(df.sparkSession, build((p.encode(), exact.exact(p)) for p in parts), "lexicon")
 
 

@@ -11,7 +11,7 @@ letters. Features are kept as strings, so there are no hash collisions and an un
 Features enter training only if they stand in toxic documents more often than chance explains, so that a few labels
 don't teach noise.
 
-Training uses a bounded sample: the first ``sample`` labelled documents of each class by a hash key, outside the
+Training uses a bounded sample: about ``sample`` labelled documents of each class, by a bound on a hash key, outside the
 held-out part; classes are weighted back halfway to their shares of all labelled documents.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both classes every score
@@ -141,10 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = MOD
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     there = known.join(rows.select("doc_id"), "doc_id", "left_semi")
     counts = {r.toxic: r["count"] for r in there.groupBy("toxic").count().collect()}
-    chosen: dict[int, int] = {}
-    for c in (0, 1):
-        first = there.where(F.col("toxic") == c).orderBy(hash_key("toxic", F.col("doc_id")), "doc_id").limit(sample)
-        chosen |= {r.doc_id: c for r in first.collect()}
+    # The keys are uniform, so a bound on the key takes about ``sample`` of a class, wherever its rows are; a sorted limit
+    # would send so many from every partition.
+    key = hash_key("toxic", F.col("doc_id"))
+    wanted = F.lit(False)
+    for c, n in counts.items():
+        wanted = wanted | ((F.col("toxic") == c) & (key < int(min(1.0, sample / n) * (1 << 60))))
+    chosen = {r.doc_id: r.toxic for r in there.where(wanted).collect()}
     if len(set(chosen.values())) < 2:
         return Model({}, 0.0)
     found = sorted(rows.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).collect(), key=lambda r: (r.doc_id, r.text))
