@@ -35,7 +35,7 @@ from .lexicon import Lexicon, build
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Longest word that is merged among others and kept; how many are kept, or up to twice as many.
-SHORT, KNOWN = 48, 200_000
+SHORT, KNOWN = 48, 100_000
 #: A comma or full stop after anything but a letter or numeral, or at the start.
 JOINED = re.compile(r"(?:[\W_]|\A)[,.]")
 LEXICON_WORDS = 131_072
@@ -319,7 +319,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, lexicon: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, lexicon)
-        for batch in sized_slices(batches, 1, 4_000_000):
+        for batch in sized_slices(batches, 1):
             parts = [own.split(t or "") for t in batch.column(1).to_pylist()]
             entries = own.entries(set().union(*parts))
             lines, raw = {p: e[0] for p, e in entries.items()}, {p: e[1] for p, e in entries.items()}

@@ -54,7 +54,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.memo = Memo(self.word)
+        self.memo = Memo(self.word, 100_000)
 
     def __reduce__(self):
         return Model, (self.weights, self.bias)

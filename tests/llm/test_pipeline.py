@@ -58,3 +58,10 @@ def test_stages_of_odd_and_of_no_rows(odd, none, folder, spark):
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
     path = folder(documents=none, labels=labels.limit(0))
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_one_of_each_group_stays(odd, none, spark):
+    rows = corpus_pipeline.drop_near_duplicates(spark, odd.select(*none.columns), "").collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 3, 5, 7, 8]
+    twice = odd.where("doc_id in (5, 8)").select(*none.columns)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, twice.union(twice), "").collect()) == [5, 8]
