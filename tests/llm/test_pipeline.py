@@ -65,3 +65,13 @@ def test_one_of_each_group_stays(odd, none, spark):
     assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 3, 5, 7, 8]
     twice = odd.where("doc_id in (5, 8)").select(*none.columns)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, twice.union(twice), "").collect()) == [5, 8]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(none, spark):
+    """Rows are told apart by themselves: neither a null id nor one that another group keeps saves a row."""
+    a, b, c = ("some words of a text that is number %s and goes on for a while" % n for n in ("one", "two", "three"))
+    rows = [(None, a), (None, a), (None, a), (1, b), (None, b), (2, c), (1, c + " "), (3, b)]
+    rows += [(1, "all of this text is quite another one than the first"), (0, "all of this text is quite another one than the first")]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], none.schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (1, b), (1, c + " "), (0, rows[-1][1])], key=str)
