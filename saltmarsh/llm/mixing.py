@@ -48,8 +48,12 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = MOST) -> DataFra
     return x.select("src", "weight", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken): how many words of each row the mix takes, repeats counted."""
+def mix(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken): how many words of each row the mix takes, repeats counted.
+
+    With ``row_col``, a unique number of the rows, that column too: ids may be null or repeated, so only it tells rows apart.
+    """
+    own = [row_col] if row_col else []
     rows = written(
         df.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -57,18 +61,19 @@ def mix(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED,
             group_key(F.col(source_col)).alias("src"),
             n_words(F.col(text_col)).alias("size"),
             hash_key(seed, F.col(id_col)).alias("key"),
+            *own,
         ),
         "mix-rows",
     )
     n = buckets_for(rows.count())
     sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     plan = sizes.join(targets(sizes, share, most), "src")
-    summed = running(rows, ["src"], F.floor(F.col("key") / F.lit(_TOP) * n).cast("int"), ["key", "doc_id", "size"], F.col("size"), "before")
+    summed = running(rows, ["src"], F.floor(F.col("key") / F.lit(_TOP) * n).cast("int"), ["key", "doc_id", "size", *own], F.col("size"), "before")
     x = summed.join(plan, "src").withColumn("budget", F.round("target").cast("long"))
     safe = F.greatest(F.col("source_size"), F.lit(1))
     epochs, rest = F.expr("budget div greatest(source_size, 1L)"), F.col("budget") % safe
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return x.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"))
+    return x.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"), *own)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The registry and the pipeline."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from saltmarsh.llm import secrets
+from saltmarsh.llm import mixing, secrets
 from saltmarsh.llm.common import written
 
 
@@ -75,3 +78,20 @@ def test_one_row_of_each_group_stays_whatever_the_ids(none, spark):
     docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], none.schema)
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(None, a), (1, b), (1, c + " "), (0, rows[-1][1])], key=str)
+
+
+def test_the_mixture_tells_rows_apart_by_more_than_the_id(none, spark):
+    """A third of the rows without an id, and ids that two texts of different sizes and sources share."""
+    rows = [(k if k % 3 else None, f"w{k} " * (k % 7 + 1), "en", "abc"[k % 3], 9) for k in range(60)]
+    rows += [(500, "x " * 40, "en", "a", 80), (500, "y", "en", "c", 1), (501, "z " * 3, "en", "b", 6), (501, "v " * 30, "en", "c", 60)]
+    docs = spark.createDataFrame(rows, none.schema).coalesce(1)
+    got = Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    mixed = mixing.mix(docs.withColumn("row", F.xxhash64("text")), row_col="row").collect()
+    assert sum(r.taken > 0 and r.doc_id is None for r in mixed) > 5
+    keyed = docs.select("text", F.xxhash64("text").alias("row"), "doc_id").collect()
+    taken = {r.row: -(-r.taken // r["size"]) for r in mixed}
+    # Rows without an id tie in the order of the mix: their copies are held by source and size, others each by itself.
+    assert all(got[r.text] == taken[r.row] for r in keyed if r.doc_id is not None)
+    ties = lambda copies: sorted((r[3], len(r[1].split()), copies(r)) for r in rows if r[0] is None)
+    row = {r.text: r.row for r in keyed}
+    assert ties(lambda r: got[r[1]]) == ties(lambda r: taken[row[r[1]]])
