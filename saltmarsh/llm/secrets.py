@@ -6,7 +6,8 @@ kind's expression is tried at the keyword's start only, and hits inside an earli
 which gives exactly the leftmost non-overlapping matches of a plain scan.
 
 Base kinds: assign, access, hex. Kinds that the method adds, each with the checksum its tokens embed:
-github and npm (six base-62 digits of the body's CRC-32), card (Luhn), iban (mod 97).
+github and npm (six base-62 digits of the body's CRC-32), card (Luhn), iban (mod 97). Where digits or capitals follow a
+card or IBAN after a separator, shorter ends are tried: for cards of 13 digits or more, for IBANs of the country's length.
 
 Keywords are looked up in the text with A-Z in lower case; positions are code points.
 
@@ -37,7 +38,17 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 GITHUB, NPM = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
-COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+#: The registered length of each country's IBANs.
+LENGTHS = {
+    n: word.split()
+    for n, word in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+}
+IBANS = {c: re.compile(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])") for n, countries in LENGTHS.items() for c in countries}
+COUNTRIES = sorted(IBANS)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,6 +74,23 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def card(text: str, at: int) -> int:
+    """The end of the longest card number at a position that Luhn's sum confirms, or 0; it ends where CARD does or at a separator."""
+    if m := CARD.match(text, at):
+        for end in [m.end(), *(k for k in range(m.end() - 1, at + 12, -1) if text[k] in " -")]:
+            if len(digits := re.sub("[ -]", "", text[at:end])) >= 13 and luhn(digits):
+                return end
+    return 0
+
+
+def iban(text: str, at: int) -> int:
+    """The end of the IBAN at a position, of its country's length or else the longest that fits, or 0."""
+    for form in (IBANS.get(text[at : at + 2]), IBAN):
+        if form and (m := form.match(text, at)) and mod97(m[0]):
+            return m.end()
+    return 0
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -99,17 +127,21 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 if m.end() - at >= 16:
                     found.append(("hex", at, m.end()))
             if what == "digits" and at >= free["card"] and not (at and text[at - 1] in "0123456789"):
-                if (m := CARD.match(text, at)) and luhn(re.sub("[ -]", "", m[0])):
-                    free["card"] = m.end()
-                    found.append(("card", at, m.end()))
+                if to := card(text, at):
+                    free["card"] = to
+                    found.append(("card", at, to))
         elif what == "access":
             if at >= free["access"] and (m := ACCESS.match(text, at)):
                 free["access"] = m.end()
                 if m.end() - at >= 18:
                     found.append(("access", at, m.end()))
+        elif what == "iban":
+            if at >= free["iban"] and not (at and text[at - 1].isalnum()) and (to := iban(text, at)):
+                free["iban"] = to
+                found.append(("iban", at, to))
         else:
-            form, valid = {"github": (GITHUB, crc62), "npm": (NPM, crc62), "iban": (IBAN, mod97)}[what]
-            if at >= free[what] and not (at and text[at - 1].isalnum()) and (m := form.match(text, at)) and valid(m[0]):
+            form = GITHUB if what == "github" else NPM
+            if at >= free[what] and not (at and text[at - 1].isalnum()) and (m := form.match(text, at)) and crc62(m[0]):
                 free[what] = m.end()
                 found.append((what, at, m.end()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
