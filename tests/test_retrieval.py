@@ -243,6 +243,14 @@ def test_cache(spark):
     assert C.clear(e).count() == 0 and C.stats(1, 3, 2)["hit_rate"] == 0.25
 
 
+def test_cache_lookup_searches_every_live_entry(spark, monkeypatch):
+    monkeypatch.setattr(C, "TURN", 7)
+    e = spark.range(30).selectExpr("id AS entry_id", "array(1D, CAST(id AS DOUBLE)) AS embedding", "array(id) AS results", "0L AS created_at")
+    q = spark.range(30).selectExpr("id AS query_id", "array(1D, CAST(id AS DOUBLE)) AS embedding")
+    hits = C.lookup(e, q, F.lit(1), C.CacheConfig(capacity=2, threshold=0.5)).collect()
+    assert sorted((h.query_id, h.entry_id) for h in hits) == [(k, k) for k in range(30)]
+
+
 def test_memory(spark):
     rows = [("e1", "ag", "t1", 1000, "LSM tree compaction notes", ["Storage"], 0.5, None), ("e2", "ag", "t2", 4000, "unrelated words", ["misc"], 0.9, None)]
     e = spark.createDataFrame(rows, "id string, agent_id string, task_id string, timestamp long, content string, tags array<string>, importance double, embedding array<double>")
