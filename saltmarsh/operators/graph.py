@@ -47,6 +47,9 @@ def tiers(tasks: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFr
         done = now if done is None else done.unionByName(now)
         left = _written(left.join(now, "task", "left_anti"))
         edges = _written(edges.join(now.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").select("task", "depends_on"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"tasks are left after {max_depth} tiers")
     return done if done is not None else left.withColumn("tier", F.lit(0))
 
 

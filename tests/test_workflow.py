@@ -28,6 +28,13 @@ def test_tiers(spark):
     assert {r.task for r in G.ready(s, e).collect()} == {"b", "c", "z"}
 
 
+def test_tiers_beyond_the_depth_raise(spark):
+    t, e = graph(spark, "abc", [("b", "a"), ("c", "b")])
+    with pytest.raises(RuntimeError):
+        G.tiers(t, e, max_depth=2)
+    assert G.tiers(t, e, max_depth=3).count() == 3
+
+
 AGENTS = [("coder", "coder", ["code_execution"], 4, 1), ("critic", "critic", ["reflection"], 0, 2), ("mem", "memory_agent", ["storage_ops", "memory_retrieval"], 1, 3)]
 
 
