@@ -6,25 +6,18 @@ and rounds are as many as the graph is deep. A round that removes nothing while
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, written
+
 
 class CycleError(ValueError):
     """The dependencies have a cycle, or a task depends on itself."""
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _checked(edges: DataFrame) -> DataFrame:
     if not edges.where(F.col("task") == F.col("depends_on")).isEmpty():
         raise CycleError("a task depends on itself")
@@ -34,19 +27,21 @@ def _checked(edges: DataFrame) -> DataFrame:
 def tiers(tasks: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(task, tier): 0 without dependencies, else one more than the deepest of them."""
     edges = _checked(edges).join(tasks.select("task"), "task", "left_semi")
-    left = _written(tasks.select("task").distinct())
-    edges = _written(edges)
+    left = written(tasks.select("task").distinct(), "tasks")
+    edges = written(edges, "edges")
     done = None
     for tier in range(max_depth):
         blocked = edges.select("task").distinct()
-        now = _written(left.join(blocked, "task", "left_anti").withColumn("tier", F.lit(tier)))
+        now = written(left.join(blocked, "task", "left_anti").withColumn("tier", F.lit(tier)), "tier")
         if now.isEmpty():
             if not left.isEmpty():
                 raise CycleError("the dependencies have a cycle")
             break
         done = now if done is None else done.unionByName(now)
-        left = _written(left.join(now, "task", "left_anti"))
-        edges = _written(edges.join(now.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").select("task", "depends_on"))
+        was = left, edges
+        left = written(left.join(now, "task", "left_anti"), "tasks")
+        edges = written(edges.join(now.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").select("task", "depends_on"), "edges")
+        discard(*was)
     else:
         if not left.isEmpty():
             raise RuntimeError(f"tasks are left after {max_depth} tiers")
@@ -54,13 +49,15 @@ def tiers(tasks: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFr
 
 
 def tiers_sql(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same for graphs of at most 100 tiers, as one recursive query: the longest path to each task."""
-    tasks.createOrReplaceTempView("saltmarsh_tasks")
-    _checked(edges).createOrReplaceTempView("saltmarsh_edges")
-    return tasks.sparkSession.sql("""
+    """The same for graphs of at most 100 tiers, as one recursive query: the longest path to each task. It walks every path,
+    so it is for trees and sparse graphs; where many paths lead to a task, tiers() is the one to use."""
+    own = uuid.uuid4().hex
+    tasks.createOrReplaceTempView(f"tasks_{own}")
+    _checked(edges).createOrReplaceTempView(f"edges_{own}")
+    return tasks.sparkSession.sql(f"""
         WITH RECURSIVE walk(task, tier) AS (
-          SELECT task, 0 FROM saltmarsh_tasks WHERE task NOT IN (SELECT task FROM saltmarsh_edges)
-          UNION ALL SELECT e.task, w.tier + 1 FROM walk w JOIN saltmarsh_edges e ON e.depends_on = w.task)
+          SELECT task, 0 FROM tasks_{own} WHERE task NOT IN (SELECT task FROM edges_{own})
+          UNION ALL SELECT e.task, w.tier + 1 FROM walk w JOIN edges_{own} e ON e.depends_on = w.task)
         SELECT task, max(tier) AS tier FROM walk GROUP BY task""")
 
 
