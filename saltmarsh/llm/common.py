@@ -1,45 +1,23 @@
-"""What the corpus operators share: the shared folder, written tables, hash splits and bounded word memos."""
+"""What the corpus operators share: hash splits, slices of batches and bounded word memos, besides the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of the contracts: a word is a maximal run of anything else.
-WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a Python task handles at once; keeps the memory of a batch of long texts small.
-SLICE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
+from ..storage import discard, scratch, shared_dir, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/saltmarsh/{name}-{uuid.uuid4().hex}"
+__all__ = ["Memo", "SLICE", "SLICE_BYTES", "WORD", "discard", "hash_key", "remainder", "scratch", "shared_dir", "sized_slices", "slices", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space of the contracts: a word is a maximal run of anything else.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes that a Python task handles at once; keeps the memory of a batch of long texts small.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
@@ -53,10 +31,20 @@ def hash_key(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and bytes, one row at least."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows <= 1 or batch.nbytes <= size:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from cut(batch.slice(0, half))
+            yield from cut(batch.slice(half))
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from cut(batch.slice(at, rows))
 
 
 def sized_slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -94,21 +94,24 @@ def test_top_against_brute_force(n, spread):
     ids = rng.permutation(n).astype(np.int64)
     lists = topk.SortedLists(ids, x)
     for i in range(0, n, max(1, n // 30)):
-        a, s = lists.top(x[i], int(ids[i]), 5)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        lists.top(ids[i : i + 1], x[i : i + 1], 5, best)
+        a, s = best[0]
         assert (a.tolist(), s.tolist()) == brute_top(ids, x, x[i].astype(np.int64), ids[i], 5)
 
 
 def test_search_of_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "ENTRIES", 21)
     v = [[0.1 * i, -0.2, 1.0] for i in range(40)]
     rows = [(i, x, 0) for i, x in enumerate(v)] + [(100, None, 0), (150, [1.0, None, 0.0], 0), (200, [1.0, float("nan"), 0.0], 0), (250, [float("inf"), 0.0, 0.0], 0), (300, [1.0], 0), (None, [1.0, 1.0, 1.0], 0), (3, v[3], 0), (50, v[3], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {}
     for r in topk.search(df, df.where("vec_id % 50 = 0")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    used = [(i, np.floor(256 * np.float32(x).astype(float)).astype(np.int64)) for i, x, _ in rows if i is not None and x and None not in x and np.isfinite(x).all() and len(x) == 3]
+    filled = lambda x: np.pad(np.floor(256 * np.float32(x).astype(float)).astype(np.int64), (0, 3 - len(x)))
+    used = [(i, filled(x)) for i, x, _ in rows if i is not None and x and None not in x and np.isfinite(x).all()]
     ids, x = np.array([i for i, _ in used]), np.array([q for _, q in used])
-    assert set(got) == {0, 50}
+    assert set(got) == {0, 50, 300}
     for q in got:
         a, s = brute_top(ids, x, x[list(ids).index(q)], q, 5)
         assert sorted(got[q]) == [(k + 1, i, t) for k, (i, t) in enumerate(zip(a, s))]
