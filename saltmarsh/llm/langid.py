@@ -1,19 +1,27 @@
 """Operator 6: language identification by cross-parsing against suffix automata.
 
-Training: of the labelled documents outside the held-out part, each language's first documents by a hash key, up to
-``chars`` characters of normalised text, make one text; its suffix automaton recognises exactly its substrings. This bounded
-sample (``docs`` documents and ``chars`` characters a language) is the model.
+Training: a bounded sample of the labelled documents outside the held-out part. Each language's first ``docs`` documents
+by a hash key are cut, whole, into pieces of ``PIECE`` characters, and the first ``pieces`` of those by a hash key, from
+wherever in the texts, make the language's training text. Its suffix automaton recognises exactly its substrings. Both
+bounds are parameters, so what reaches the driver is bounded however long, many or repeated the documents are.
 
 Cross-parsing: from each position the longest stretch that occurs in a language's text is one phrase; then the next begins.
-A language explains a text well if it needs few phrases; the fewest, per character, win. Texts are parsed in
-blocks of ``BLOCK`` characters (a phrase ends with its block, for all languages alike), so whole texts of
-any length are parsed, all blocks of a batch and all languages step by step together in NumPy.
+A language explains a text well if it needs few phrases. A phrase points into the training text, so it costs the
+logarithm of that text's length: languages with less training text can't win by it, nor lose. The fewest phrases, so
+weighed and per character, win. Texts are parsed in blocks of ``BLOCK`` characters (a phrase ends with its block, for
+all languages alike), so whole texts of any length are parsed, all blocks of a batch and all languages step by step
+together in NumPy.
+
+The automata are one hash table of arcs, (state, letter) to state, in open addressing: its size follows the training
+text, whatever the alphabets. It is the only broadcast.
 
 Normalised text: letters in lower case, each run of anything else one space. ``score`` is the winner's share of a softmax
 over the phrase rates.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language first by
-code point; without labelled text every text is ``und``; repeated rows each give a row; an empty table gives none.
+code point; without labelled text every text is ``und``; texts are parsed whole at any length; repeated rows each give
+a row (and train as one document); an empty table gives none; columns other than id, text and lang aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_key, remainder, slices
 
-DOCS, CHARS, BLOCK, UND = 40, 20_000, 512, "und"
+DOCS, PIECES, PIECE, BLOCK, UND = 400, 100, 200, 512, "und"
 MOD, HELD = 4, 2
 SHARP = 40.0
 
@@ -95,25 +103,61 @@ class SuffixAutomaton:
             last = new
 
 
+class Arcs:
+    """(state, symbol) -> state in open addressing; a missing arc is -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at, left = self.first(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            slot, who = np.unique(at[free], return_index=True)  # one key a slot, the others move on
+            placed = left[free][who]
+            self.keys[slot], self.values[slot] = keys[placed], values[placed]
+            rest = ~np.isin(left, placed)
+            left, at = left[rest], (at[rest] + 1) & (1 << self.bits) - 1
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (1 << self.bits) - 1
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            found[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return found
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.values.nbytes
+
+
 class Parser:
-    """The automata of all languages as one table of transitions; symbol 0 is any letter that no training text has."""
+    """The automata of all languages as one table of arcs; symbol 0 is any letter that no training text has."""
 
     def __init__(self, texts: dict[str, np.ndarray]):
         self.langs = sorted(texts)
         self.letters = np.unique(np.concatenate(list(texts.values()))) if texts else np.zeros(0, np.uint32)
-        width = len(self.letters) + 1
-        tables, self.roots, at = [], [], 0
+        self.width = len(self.letters) + 1
+        keys, values, self.roots, at = [], [], [], 0
         for lang in self.langs:
             automaton = SuffixAutomaton(self.symbols(texts[lang]).tolist())
-            table = np.full((len(automaton.next), width), -1, np.int32)
             for state, arcs in enumerate(automaton.next):
                 for c, to in arcs.items():
-                    table[state, c] = to + at
-            tables.append(table)
+                    keys.append((state + at) * self.width + c)
+                    values.append(to + at)
             self.roots.append(at)
             at += len(automaton.next)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.width = width
+        self.arcs = Arcs(np.array(keys, np.int64), np.array(values, np.int32))
+        #: bits of a pointer into each language's text
+        self.cost = np.log2([len(texts[lang]) + 1 for lang in self.langs])
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
         if not len(self.letters):
@@ -140,12 +184,12 @@ class Parser:
             k = live[step]
             c = symbols[start[:k] + step]
             own = state[:, :k]
-            to = self.table[own * self.width + c]
+            to = self.arcs.get((own.astype(np.int64) * self.width + c).ravel()).reshape(own.shape)
             stuck = to < 0
             if stuck.any():
                 lang, col = np.nonzero(stuck)
                 count[lang, col] += own[lang, col] != roots[lang, col]
-                again = self.table[roots[lang, col] * self.width + c[col]]
+                again = self.arcs.get(roots[lang, col].astype(np.int64) * self.width + c[col])
                 lost = again < 0
                 again[lost] = roots[lang[lost], col[lost]]
                 count[lang[lost], col[lost]] += 1  # a letter the language lacks is a phrase by itself
@@ -161,7 +205,7 @@ class Parser:
         letters, lengths, n_letters = normalise([t or "" for t in texts])
         if not self.langs:
             return [UND] * len(texts), [0.0] * len(texts)
-        rates = self.phrases(self.symbols(letters), lengths) / np.maximum(lengths, 1)
+        rates = self.phrases(self.symbols(letters), lengths) * (self.cost / self.cost.max())[:, None] / np.maximum(lengths, 1)
         best = rates.argmin(0)
         weights = np.exp(-SHARP * (rates - rates.min(0)))
         score = 1 / weights.sum(0)
@@ -169,22 +213,27 @@ class Parser:
         return named, np.where(n_letters > 0, score, 0.0).tolist()
 
 
-def fit(df: DataFrame, docs: int = DOCS, chars: int = CHARS, mod: int = MOD, held: int = HELD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Language -> normalised training text. At most ``docs`` documents a language reach the driver; the ids are chosen
-    first, from narrow rows (row_number keeps the first few of each task before the shuffle)."""
+def fit(df: DataFrame, docs: int = DOCS, pieces: int = PIECES, mod: int = MOD, held: int = HELD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Language -> normalised training text: of ``docs`` documents a language, ``pieces`` pieces of their whole texts.
+
+    Keys are uniform, so a bound on the key leaves a few times ``docs`` of a language before anything is sorted or shuffled."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), mod) != held))
-    key = hash_key("langid", F.col("doc_id"))
-    first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    # No text ends a language before it has its share: only that many characters of each go to the driver.
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs)
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]
-    found = rows.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).collect() if ids else []
-    texts: dict[str, list[np.ndarray]] = {}
-    for row in sorted(found, key=lambda r: (r.lang, r.doc_id)):
-        texts.setdefault(row.lang, []).append(normalise([row.text])[0])
-    cut = lambda parts: np.concatenate([p[: max(1, chars // len(parts))] for p in parts])
-    return {lang: t for lang, parts in texts.items() if len(t := cut(parts))}
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), mod) != held))
+    bounds = {r.lang: int(min(1.0, 4 * docs / r.n) * (1 << 60)) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not bounds:
+        return {}
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    key, bound = hash_key("langid", F.col("doc_id")), F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+    few = rows.where(key < bound).withColumn("h", F.xxhash64("text"))
+    chosen = few.select("doc_id", "lang", "h").distinct().withColumn("k", first(hash_key("langid", F.col("doc_id")), "doc_id", "h")).where(F.col("k") <= docs)
+    whole = few.join(F.broadcast(chosen), ["doc_id", "lang", "h"], "left_semi").groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))  # docs rows a language at most
+    cut = whole.select("doc_id", "lang", "h", F.explode(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {PIECE}"))).alias("nth"), "text")
+    cut = cut.select("doc_id", "lang", "h", "nth", F.substring(F.col("text"), F.col("nth") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    drawn = cut.withColumn("k", first(F.xxhash64("doc_id", "h", "nth"), "doc_id", "h", "nth")).where(F.col("k") <= pieces).select("lang", "k", "piece").collect()
+    texts: dict[str, list[str]] = {}
+    for row in sorted(drawn, key=lambda r: (r.lang, r.k)):
+        texts.setdefault(row.lang, []).append(row.piece)
+    return {lang: text for lang, parts in texts.items() if len(text := normalise(parts)[0]) and text.any()}
 
 
 def identify(df: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,6 +52,72 @@ def test_phrases_are_longest_matches():
     assert got.T.tolist() == [[brute(t, "banana"), brute(t, "bandana")] for t in texts]
 
 
+def phrases_of(text, model, block):
+    """Longest matches one after the other, by search in the text itself; a phrase ends with its block."""
+    n = 0
+    for at in range(0, len(text), block):
+        part, i = text[at : at + block], 0
+        while i < len(part):
+            j = i
+            while j < len(part) and part[i : j + 1] in model:
+                j += 1
+            i, n = max(j, i + 1), n + 1
+    return n
+
+
+def test_language_query_against_brute_force(spark, folder, none):
+    """Whole rows of the registered query: labels, held-out flag, scores."""
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").where("n_chars < 1500").limit(120)
+    docs = docs.union(spark.createDataFrame([(7_000, None, "en", "a", 0), (7_001, "12 -", None, "a", 4), (None, "der die das", "de", "a", 11), (7_002, "x", "en", None, 1)], none.schema))
+    path = folder(documents=docs)
+    model = {k: "".join(map(chr, v)) for k, v in langid.fit(docs).items()}
+    bits = {k: np.log2(len(v) + 1) for k, v in model.items()}
+    got = {r.doc_id: r for r in langid.op6_language_id(spark, path).collect()}
+    for r in docs.collect():
+        letters, _, n = langid.normalise([r.text or ""])
+        held = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        if not n[0]:
+            assert tuple(got[r.doc_id]) == (r.doc_id, held, "und", 0.0)
+            continue
+        text = "".join(map(chr, letters))
+        rate = {k: phrases_of(text, m, langid.BLOCK) * bits[k] / max(bits.values()) / len(text) for k, m in model.items()}
+        best = min(sorted(rate), key=rate.get)
+        assert (got[r.doc_id].held_out, got[r.doc_id].lang_pred) == (held, best)
+        assert got[r.doc_id].score == pytest.approx(1 / sum(np.exp(-langid.SHARP * (x - rate[best])) for x in rate.values()))
+
+
+def test_a_language_with_little_training_text(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    model = langid.fit(docs)
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    for few in model:
+        parser = langid.Parser({k: v[:500] if k == few else v for k, v in model.items()})
+        named = [n for at in range(0, len(rows), 64) for n in parser.predict([r.text for r in rows[at : at + 64]])[0]]
+        for lang in model:
+            own = [n == lang for n, r in zip(named, rows) if r.lang == lang]
+            assert sum(own) / len(own) >= 0.97
+
+
+def test_training_text_comes_from_whole_texts(spark, none):
+    """Pieces are drawn from everywhere in a text; bounds hold however long a text is and however often a row repeats."""
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000))
+    docs = spark.createDataFrame([(1, text, "en", "a", 9)] * 3 + [(k, "kurz und gut", "de", "a", 9) for k in (1, 3, 5)], none.schema)
+    got = langid.fit(docs, docs=2, pieces=40)
+    assert 0.8 * 40 * langid.PIECE < len(got["en"]) <= 41 * langid.PIECE
+    words = "".join(map(chr, got["en"])).split(chr(0))
+    at = [i for i, w in enumerate(text.split()) if w in set(words)]
+    assert min(at) < 2_000 and max(at) > 15_000
+    assert langid.fit(docs, docs=1)["de"].tolist() == langid.normalise(["kurz und gut"])[0].tolist()
+
+
+def test_model_of_a_large_alphabet_is_small():
+    rnd = np.random.default_rng(1)
+    zh = rnd.integers(0x4E00, 0x4E00 + 6_000, 20_000).astype(np.uint32)
+    parser = langid.Parser({"zh": zh, "de": rnd.integers(97, 123, 20_000).astype(np.uint32)})
+    assert parser.arcs.nbytes < 20e6
+    assert parser.predict(["".join(map(chr, zh[70:75])) + "." + "".join(map(chr, zh[900:904])), "abc def ghi"])[0] == ["zh", "de"]
+
+
 def test_a_text_is_parsed_in_blocks():
     parser = langid.Parser({"x": np.full(2000, ord("a"), np.uint32)})
     n = 3 * langid.BLOCK + 1
