@@ -12,11 +12,14 @@ Features enter training only if they stand in toxic documents more often than ch
 don't teach noise.
 
 Training uses a bounded sample: about ``sample`` labelled documents of each class, by a bound on a hash key, outside the
-held-out part; classes are weighted back halfway to their shares of all labelled documents.
+held-out part, and of those in the key's order as many as have ``sample_bytes`` bytes of text together; classes are weighted
+back halfway to their shares of all labelled documents. Training texts are read whole. Sums run in sorted order, so
+the same tables give the same scores in every process.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both classes every score
-is 0; a label of several rows is toxic if one says so; texts are scored whole; repeated rows each give a row; an empty table
-gives none.
+is 0; a label of several rows is toxic if one says so; of several texts of one id the one with the smallest hash trains;
+texts are scored whole at any length; repeated rows each give a row and tie; an empty table gives none; columns other than
+id, text and label aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,19 +37,17 @@ from pyspark.sql import functions as F
 
 from .common import Memo, hash_key, remainder, slices
 
-SAMPLE, MIN_DOCS, Z, ROUNDS = 2_000, 4, 3.0, 150
+SAMPLE, SAMPLE_BYTES, MIN_DOCS, Z, ROUNDS = 2_000, 32 << 20, 4, 3.0, 150
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
 MOD, HELD = 3, 1
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = "\"'()[]{}<>,;:*-_"
 
 
-def features(word: str) -> set[str]:
-    """Of a lower-case word as it stands between white space."""
+def features(word: str) -> tuple[str, ...]:
+    """Of a lower-case word as it stands between white space; always in the same order."""
     w = word.strip(EDGES)
-    if not w:
-        return set()
-    return {w + "$"} | {w[:n] for n in (4, 5, 6) if len(w) >= n}
+    return (w + "$", *(w[:n] for n in (4, 5, 6) if len(w) >= n)) if w else ()
 
 
 class Model:
@@ -67,7 +68,8 @@ class Model:
         """(start, end, logit) of each sentence."""
         word = self.memo.__getitem__
         bias = self.bias
-        return [(m.start(), m.end(), bias + sum(map(word, set(m[0].lower().split())))) for m in SENTENCE.finditer(text)]
+        # Each distinct word once, in the text's order: sums don't depend on the process.
+        return [(m.start(), m.end(), bias + sum(map(word, dict.fromkeys(m[0].lower().split())))) for m in SENTENCE.finditer(text)]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """(probability of the document, offending sentences as (start, end, probability), worst first)."""
@@ -88,14 +90,14 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     if len(set(labels)) < 2:
         return Model({}, 0.0)
     words: dict[str, int] = {}
-    parts: list[set[str]] = []  # features by word
+    parts: list[tuple[str, ...]] = []  # features by word
     token, sentence_of, doc_of = array("i"), array("i"), array("i")
     n_docs, n_toxic = Counter(), Counter()  # by feature
     for d, text in enumerate(texts):
         own = set()
         for m in SENTENCE.finditer(text):
-            ids = {words.setdefault(w, len(words)) for w in m[0].lower().split()}
-            own |= ids
+            ids = list(dict.fromkeys([words.setdefault(w, len(words)) for w in m[0].lower().split()]))
+            own.update(ids)
             token.extend(ids)
             sentence_of.extend([len(doc_of)] * len(ids))
             doc_of.append(d)
@@ -134,8 +136,9 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     return Model({f: float(theta[k]) for f, k in names.items() if abs(theta[k]) > 0.02}, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = MOD, held: int = HELD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Trains on at most ``sample`` documents of each class; they are chosen by id before any text is read."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, mod: int = MOD, held: int = HELD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Trains on about ``sample`` documents of each class, ``sample_bytes`` of text at most (of one document at least); ids
+    and sizes are chosen before any text is collected."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), mod) != held))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -147,10 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = MOD
     wanted = F.lit(False)
     for c, n in counts.items():
         wanted = wanted | ((F.col("toxic") == c) & (key < int(min(1.0, sample / n) * (1 << 60))))
-    chosen = {r.doc_id: r.toxic for r in there.where(wanted).collect()}
+    labelled = {r.doc_id: r.toxic for r in there.where(wanted).collect()}
+    picked = rows.where(F.col("doc_id").isin(list(labelled)) & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    # One text an id: the partial minima of a task are as many as the ids.
+    sizes = picked.groupBy("doc_id").agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("least")).select("doc_id", "least.*", key.alias("key")).collect() if labelled else []
+    chosen, total = {}, [0, 0]
+    for r in sorted(sizes, key=lambda r: (r.key, r.doc_id)):
+        c = labelled[r.doc_id]
+        if not total[c] or total[c] + r.n <= sample_bytes:
+            chosen[r.doc_id], total[c] = c, total[c] + r.n
     if len(set(chosen.values())) < 2:
         return Model({}, 0.0)
-    found = sorted(rows.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).collect(), key=lambda r: (r.doc_id, r.text))
+    least = F.create_map(*[F.lit(x) for r in sizes if r.doc_id in chosen for x in (r.doc_id, r.h)])[F.col("doc_id")]
+    found = picked.where(F.col("doc_id").isin(list(chosen)) & (F.col("h") == least)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    found = sorted(found, key=lambda r: r.doc_id)
     classes = Counter(chosen.values())
     # Halfway, in odds, between the sample's shares and those of all labels: a rare class isn't drowned.
     share = [(counts[c] / classes[c]) ** 0.5 for c in (0, 1)]

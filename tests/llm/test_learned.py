@@ -181,3 +181,54 @@ def test_training_without_both_classes(spark, none, real):
 def test_scores_depend_on_text_only(spark, model, real):
     moved = real.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit("s").alias("source"), "n_chars")
     assert sorted(r.score for r in toxicity.score(real, model).collect()) == sorted(r.score for r in toxicity.score(moved, model).collect())
+
+
+def test_toxicity_query_is_the_models_score(spark, small=BASE):
+    """Whole rows of the registered query, against noisy-or of sentences worked out apart from the model's code."""
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.op1_toxicity(spark, small).collect()}
+    every = docs.collect()
+    assert len(rows) == len(every)
+    for r in every:
+        clean = 1.0
+        for sentence in toxicity.SENTENCE.findall(r.text or ""):
+            z = model.bias
+            for w in set(sentence.lower().split()):
+                w = w.strip(toxicity.EDGES)
+                z += sum(model.weights.get(f, 0.0) for f in ([w + "$", *(w[:n] for n in (4, 5, 6) if len(w) >= n)] if w else []))
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        got = rows[r.doc_id]
+        assert got.score == pytest.approx(1 - clean, abs=1e-9)
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and got.predicted == int(got.score >= 0.7)
+
+
+def test_training_sample_is_bounded(spark, none):
+    """Rows by sample, bytes by sample_bytes; a repeated id trains once."""
+    seen = []
+    texts = [(k, f"{'bad' if k % 2 else 'good'} text number {k}. " + "x" * 5_000, "en", "a", 9) for k in range(40)]
+    docs = spark.createDataFrame(texts + [texts[1]] * 30 + [(1, "another text", "en", "a", 9)], none.schema)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    original = toxicity.train
+    toxicity.train = lambda t, y, *a, **k: seen.append((t, y)) or original(t, y, *a, **k)
+    try:
+        toxicity.fit(docs, labels, sample_bytes=21_000)
+        toxicity.fit(docs, labels, sample=10)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = original
+    for c in (0, 1):
+        own = [t for t, y in zip(*seen[0]) if y == c]
+        assert 1 <= len(own) <= 5 and sum(map(len, own)) <= 21_000
+    assert len(seen[1][0]) < 25 and len(seen[2][0]) == len(set(seen[2][0])) > 20
+
+
+def test_scores_are_the_same_in_every_process(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = "from saltmarsh.llm import toxicity as t\nx = [f'word{k % 17} bad{k % 5} thing{k % 3}. fine{k} here' for k in range(200)]\nm = t.train(x, [int(k % 5 == 0) for k in range(200)], rounds=30)\nprint([m.score(s) for s in x])"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    outs = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": s}, cwd=root, capture_output=True, text=True, check=True).stdout for s in "123"}
+    assert len(outs) == 1 and len(outs.pop()) > 1_000
