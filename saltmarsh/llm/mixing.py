@@ -1,15 +1,16 @@
 """Operator 9: mixing sources to target weights, to the word. Native.
 
-Every document gets a hash-random key; within its source the documents are sorted by key in ranges (buckets of the
-uniform key), prefix sums of their sizes are computed over the ranges, and each source is cut at its exact budget:
-whole passes over the source first (epochs), then the documents whose prefix fits, then as many words of the next one
-as are left. Prefix sums come from ``bucketed.py``: no task holds a whole source and a hot source has many ranges.
+Every document gets a hash-random key; the documents are range-sorted by source and key, prefix sums of their sizes are
+computed over the ranges, and each source is cut at its exact budget: whole passes over the source first (epochs),
+then the documents whose prefix fits, then as many words of the next one as are left. Prefix sums come from
+``bucketed.py``: no task holds a whole source, and a hot source or id has many ranges. Texts are not shuffled.
 
 The budget: sources by code point, null last, weigh 1, 2, 3, 1, ... and share ``share`` of all words; a source's target
 stops at ``most`` times its size and the excess is shared again by weight among the rest, until none is above.
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null source is a source of its own; repeated rows
-count each; ties of the key go by doc_id, then size; an empty table gives no rows; other columns are not read.
+count each; ties of the key go by doc_id, then size, then the row's place in the table; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bucketed import buckets_for, group_key, running
+from .bucketed import group_key, ranges_for, running
 from .common import WORD, hash_key, written
 
 SEED, MOST = "mix-1", 3
-_TOP = float(1 << 60)
+#: What a source's rows are sorted by.
+ORDER = ["key", "doc_id", "size", "row"]
 
 
 def n_words(text: Column) -> Column:
@@ -48,32 +50,51 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = MOST) -> DataFra
     return x.select("src", "weight", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken): how many words of each row the mix takes, repeats counted.
-
-    With ``row_col``, a unique number of the rows, that column too: ids may be null or repeated, so only it tells rows apart.
-    """
-    own = [row_col] if row_col else []
-    rows = written(
-        df.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            group_key(F.col(source_col)).alias("src"),
-            n_words(F.col(text_col)).alias("size"),
-            hash_key(seed, F.col(id_col)).alias("key"),
-            *own,
-        ),
-        "mix-rows",
-    )
-    n = buckets_for(rows.count())
+def measured(df: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, src, size, key, row, and the columns of keep), written; row tells rows apart."""
+    columns = [
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        group_key(F.col(source_col)).alias("src"),
+        n_words(F.col(text_col)).alias("size"),
+        hash_key(seed, F.col(id_col)).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
+    ]
+    return written(df.select(*columns, *keep), "mix-rows")
+
+
+def budgeted(rows: DataFrame, share: float = 1.0, most: float = MOST) -> DataFrame:
+    """Measured rows, without what they keep, with source_size, target, epochs (whole passes) and partial (words of the
+    last pass, which takes the first rows by ORDER)."""
+    rows = rows.select("source", "src", *ORDER)
+    n = ranges_for(rows.count())
     sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     plan = sizes.join(targets(sizes, share, most), "src")
-    summed = running(rows, ["src"], F.floor(F.col("key") / F.lit(_TOP) * n).cast("int"), ["key", "doc_id", "size", *own], F.col("size"), "before")
-    x = summed.join(plan, "src").withColumn("budget", F.round("target").cast("long"))
-    safe = F.greatest(F.col("source_size"), F.lit(1))
-    epochs, rest = F.expr("budget div greatest(source_size, 1L)"), F.col("budget") % safe
+    x = running(rows, ["src"], ORDER, F.col("size"), "before", n).join(plan, "src").withColumn("budget", F.round("target").cast("long"))
+    rest = F.col("budget") % F.greatest(F.col("source_size"), F.lit(1))
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return x.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"), *own)
+    return x.withColumns({"epochs": F.expr("budget div greatest(source_size, 1L)"), "partial": partial})
+
+
+def mix(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken): how many words of each row the mix takes, repeats counted."""
+    x = budgeted(measured(df, seed, id_col, text_col, source_col), share, most)
+    return x.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("partial")).cast("long").alias("taken"))
+
+
+def repeated(df: DataFrame, share: float = 1.0, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df's rows, each as often as the mix takes it: the row at a source's cut is kept whole, rows without words stay once.
+
+    A source's passes and cut are one row, so rows are judged by their own key: nothing is joined row by row, no text is
+    shuffled unless the sources are too many to broadcast.
+    """
+    rows = measured(df, seed, id_col, text_col, source_col, tuple(c for c in df.columns if c not in (id_col, source_col)))
+    last = F.max(F.when(F.col("partial") > 0, F.struct(*ORDER)))
+    cuts = written(budgeted(rows, share, most).groupBy("src").agg(F.first("epochs").alias("epochs"), last.alias("cut")), "cuts")
+    once_more = F.coalesce(F.struct(*ORDER) <= F.col("cut"), F.lit(False)).cast("long")
+    copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("epochs") + once_more)
+    x = rows.join(cuts, "src").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return x.select(*[F.col({id_col: "doc_id", source_col: "source"}.get(c, c)).alias(c) for c in df.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

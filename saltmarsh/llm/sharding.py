@@ -4,8 +4,8 @@ Rows are shuffled by a seeded key within their source; the row of rank r among n
 rank (r + 1/2) / n; all rows sorted by that are cut into shards whose counts are at most one apart. Any stretch of
 the sorted rows holds every source in its proportion, so every shard does.
 
-Ranks and positions come from bucketed windows (``bucketed.py``): keys and fractional ranks are uniform, so buckets
-are even however hot a source is, and no task holds a whole source. Only ids, sizes and checksums are shuffled.
+Ranks and positions come from windows inside ranges of the sorted rows (``bucketed.py``): ranges are even however hot a
+source, an id or a group of copies is, and no task holds a whole source. Only ids, sizes and checksums are shuffled.
 
 Defined results: a null text has size 8 and checksum 0, a null source is a source of its own, rows that repeat each
 take their own slot (ties by doc_id, then text checksum; equal rows are interchangeable), an empty table gives no
@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bucketed import buckets_for, group_key, running
+from .bucketed import group_key, ranges_for, running
 from .common import hash_key, written
 
 SHARDS, SEED = 24, "shards-1"
-_TOP = float(1 << 60)
 
 
 def interleave(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -35,16 +34,16 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: st
             (F.octet_length(text).cast("long") + 8).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             hash_key(seed, F.col(id_col)).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
     total = rows.count()
-    n = buckets_for(total)
-    ranked = running(rows, ["src"], F.floor(F.col("key") / F.lit(_TOP) * n).cast("int"), ["key", "doc_id", "text_crc32"], F.lit(1), "rank")
+    n = ranges_for(total)
+    ranked = running(rows, ["src"], ["key", "doc_id", "text_crc32", "row"], F.lit(1), "rank", n)
     counts = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_src"))
-    placed = written(ranked.join(counts, "src").withColumn("at", (F.col("rank") + 0.5) / F.col("n_src")), "shard-ranks")
-    order = ["at", "src", "rank"]
-    position = running(placed, [], F.floor(F.col("at") * n).cast("int"), order, F.lit(1), "pos")
+    placed = ranked.join(counts, "src").withColumn("at", (F.col("rank") + 0.5) / F.col("n_src"))
+    position = running(placed, [], ["at", "src", "rank"], F.lit(1), "pos", n)
     # Shard s has the positions from ceil(s * total / shards) on.
     shard = F.expr(f"cast((pos * {shards}L) div {max(total, 1)}L as int)")
     start = F.expr(f"(cast((pos * {shards}L) div {max(total, 1)}L as bigint) * {total}L + {shards - 1}L) div {shards}L")
@@ -58,7 +57,6 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
 def _nibbles() -> list[int]:
     found = []
     for c in range(16):

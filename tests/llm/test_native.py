@@ -20,8 +20,7 @@ def run_sql(sql, path):
 
 def test_running_over_buckets_equals_a_plain_running_sum(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), F.xxhash64("id").alias("k"), F.col("id").alias("v"))
-    b = F.floor((F.col("k") / 2.0**64 + 0.5) * 7).cast("int")
-    got = {(r.g, r.k): r.out for r in running(df, ["g"], b, ["k"], F.col("v"), "out").collect()}
+    got = {(r.g, r.k): r.out for r in running(df, ["g"], ["k"], F.col("v"), "out", 7).collect()}
     for g in "012":
         total = 0
         for r in sorted((r for r in df.collect() if r.g == g), key=lambda r: r.k):
@@ -51,7 +50,7 @@ def test_shards_match_the_mixture(real):
 
 
 def test_a_hot_source_uses_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr("saltmarsh.llm.sharding.buckets_for", lambda n: 50)
+    monkeypatch.setattr("saltmarsh.llm.sharding.ranges_for", lambda n: 50)
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 400, "hot").otherwise("cold").alias("source"))
     rows = sharding.interleave(df, shards=5).collect()
     for s in range(5):
@@ -99,7 +98,7 @@ def test_mixture_of_odd_rows(odd):
 
 
 def test_mixture_hits_every_budget(real, monkeypatch):
-    monkeypatch.setattr("saltmarsh.llm.mixing.buckets_for", lambda n: 13)
+    monkeypatch.setattr("saltmarsh.llm.mixing.ranges_for", lambda n: 13)
     rows = mixing.mix(real).collect()
     taken, target = Counter(), {}
     for r in rows:
@@ -119,3 +118,20 @@ def test_oracles_agree_on_odd_rows(odd, folder):
 def test_native_plans_hold_no_python(real):
     for df in (sharding.interleave(real), mixing.mix(real)):
         assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
+
+
+def test_a_hot_id_or_row_is_split(spark, monkeypatch):
+    """A third of the rows share an id, another third are one and the same row: no range holds more than its share."""
+    monkeypatch.setattr("saltmarsh.llm.mixing.ranges_for", lambda n: 12)
+    monkeypatch.setattr("saltmarsh.llm.sharding.ranges_for", lambda n: 12)
+    df = spark.range(6_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, 8).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("w"), F.col("id"))).otherwise("two words").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.measured(df)
+    from saltmarsh.llm.common import written
+
+    seen = []
+    monkeypatch.setattr("saltmarsh.llm.bucketed.written", lambda d, name: seen.append(w := written(d, name)) or w)
+    assert sum(r.partial + r.epochs * r["size"] for r in mixing.budgeted(rows).collect()) == sum(r["size"] for r in rows.collect())
+    assert sharding.interleave(df, 5).groupBy("shard").count().where("count <> 1200").isEmpty()
+    for d in seen:
+        column = next(c for c in d.columns if c.endswith("__range"))
+        assert d.groupBy(column).count().agg(F.max("count")).first()[0] < 2 * 6_000 / 12 + 200

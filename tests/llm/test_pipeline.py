@@ -86,12 +86,25 @@ def test_the_mixture_tells_rows_apart_by_more_than_the_id(none, spark):
     rows += [(500, "x " * 40, "en", "a", 80), (500, "y", "en", "c", 1), (501, "z " * 3, "en", "b", 6), (501, "v " * 30, "en", "c", 60)]
     docs = spark.createDataFrame(rows, none.schema).coalesce(1)
     got = Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
-    mixed = mixing.mix(docs.withColumn("row", F.xxhash64("text")), row_col="row").collect()
+    mixed = mixing.budgeted(mixing.measured(docs, keep=("text",))).select("doc_id", "size", "source", "key", "row", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken")).collect()
     assert sum(r.taken > 0 and r.doc_id is None for r in mixed) > 5
-    keyed = docs.select("text", F.xxhash64("text").alias("row"), "doc_id").collect()
-    taken = {r.row: -(-r.taken // r["size"]) for r in mixed}
-    # Rows without an id tie in the order of the mix: their copies are held by source and size, others each by itself.
-    assert all(got[r.text] == taken[r.row] for r in keyed if r.doc_id is not None)
-    ties = lambda copies: sorted((r[3], len(r[1].split()), copies(r)) for r in rows if r[0] is None)
-    row = {r.text: r.row for r in keyed}
-    assert ties(lambda r: got[r[1]]) == ties(lambda r: taken[row[r[1]]])
+    # Rows without an id tie in the order of the mix: their copies are held by source and size.
+    text = {(r.doc_id, r["size"], r.source): [] for r in mixed}
+    for k, t, _, s, _ in rows:
+        text[k, len(t.split()), s].append(t)
+    for (k, size, s), texts in text.items():
+        want = sorted(-(-r.taken // r["size"]) for r in mixed if (r.doc_id, r["size"], r.source) == (k, size, s))
+        assert sorted(got[t] for t in texts) == want
+
+
+def test_the_mixture_keeps_rows_without_words_once(odd, none, spark):
+    docs = odd.select(*none.columns)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert [got[k, t] for k, t in ((3, ""), (4, None), (6, " \t\n "))] == [1, 1, 1]
+    assert corpus_pipeline.mix_sources(spark, none, "").count() == 0
+
+
+def test_no_text_is_shuffled_by_the_mixture(spark, real):
+    """After the rows are written, the only exchange that could carry texts would be a join's; the cuts are broadcast."""
+    plan = mixing.repeated(real)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
