@@ -242,9 +242,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(path: str, lexicon: str | None) -> Codec:
-    """One for each tokenizer, lexicon and worker. The lexicon is a Spark file: a new executor fetches it again."""
+    """A worker keeps the last one only: its memos are large. The lexicon is a Spark file: a new executor fetches it again."""
     return Codec(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
