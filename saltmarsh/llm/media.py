@@ -6,15 +6,16 @@ written under its own name and counts only through the manifest, a table of the
 retried or lost task leaves nothing that is read.
 
 Reading: ``spark.read.format("archive_members")`` plans byte ranges of about ``range_bytes`` over the archives of the
-manifest; no member list reaches the driver. The task of a range reads the archive's central directory, takes the
+manifest, larger ones where there would be more than ``RANGES`` of them; no member list reaches the driver. The task of a range reads the archive's central directory, takes the
 members whose offset falls into the range, reads each by its offset, checks its CRC-32, and streams payload batches as
-Arrow. A member that can't be read is tried again by itself, from its offset with a new handle; when that fails
-``retries`` times the task fails: nothing is dropped.
+Arrow. A member or directory that can't be read, or is read short, is tried again by itself, from its offset with a new
+handle; when that fails ``retries`` times the task fails: nothing is dropped.
 
 Features: byte mean and variance, share of zero bytes, and the steps between neighbouring rows, as whole numbers.
 
 Defined results: null counts as empty, whose payload is 64 zero bytes; equal texts give equal values; texts of any
-length are stored whole; repeated rows each give a row; a null doc_id keeps its row; an empty table gives none.
+length are stored whole; repeated rows each give a row; a null doc_id keeps its row; an empty table gives none; columns
+other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import scratch, slices
 
-WIDTH, ARCHIVE, RANGE, RETRIES = 64, 32 << 20, 8 << 20, 3
+WIDTH, ARCHIVE, RANGE, RANGES, RETRIES = 64, 32 << 20, 8 << 20, 100_000, 3
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -147,38 +149,44 @@ class ArchiveReader(DataSourceReader):
 
         system, root = filesystem(self.manifest)
         rows = ds.dataset(root, filesystem=system, format="parquet").to_table().to_pylist()
-        found = [ByteRange(r["path"], at, min(at + self.range_bytes, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], self.range_bytes)]
+        step = max(self.range_bytes, sum(r["bytes"] for r in rows) // RANGES)
+        found = [ByteRange(r["path"], at, min(at + step, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], step)]
         return found or [ByteRange("", 0, 0)]  # Spark asks for one partition at least
 
-    def member(self, system, path: str, info: zipfile.ZipInfo) -> bytes:
-        """One member by its offset, tried again alone if it can't be read or fails its checksum."""
-        error: Exception | None = None
+    def again(self, read: Callable[[], Any]) -> Any:
+        """What read gives, tried again after an error of the storage or damaged bytes."""
         for attempt in range(self.retries + 1):
             try:
-                with system.open_input_file(path) as f:
-                    head = f.read_at(30, info.header_offset)
-                    names, extra = struct.unpack_from("<HH", head, 26)
-                    data = f.read_at(info.compress_size, info.header_offset + 30 + names + extra)
-                if head[:4] != b"PK\3\4" or len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise OSError(f"member {info.filename} of {path} at {info.header_offset} is damaged")
-                return data
-            except OSError as e:
-                error = e
+                return read()
+            except (OSError, struct.error, zipfile.BadZipFile):
+                if attempt == self.retries:
+                    raise
                 time.sleep(min(0.1 * 2**attempt, 2))
-        raise error
+
+    def directory(self, system, path: str) -> list[zipfile.ZipInfo]:
+        with system.open_input_file(path) as f:
+            return zipfile.ZipFile(f).infolist()
+
+    def member(self, system, path: str, info: zipfile.ZipInfo) -> bytes:
+        """One member by its offset."""
+        with system.open_input_file(path) as f:
+            head = f.read_at(30, info.header_offset)
+            names, extra = struct.unpack_from("<HH", head, 26)
+            data = f.read_at(info.compress_size, info.header_offset + 30 + names + extra)
+        if head[:4] != b"PK\3\4" or len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+            raise OSError(f"member {info.filename} of {path} at {info.header_offset} is damaged")
+        return data
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         system, path = filesystem(partition.path)
-        with system.open_input_file(path) as f:
-            infos = zipfile.ZipFile(f).infolist()
         rows: list[tuple] = []
         size = 0
-        for info in infos:
+        for info in self.again(lambda: self.directory(system, path)):
             if not partition.start <= info.header_offset < partition.end:
                 continue
-            image = self.member(system, path, info)
+            image = self.again(lambda info=info: self.member(system, path, info))
             _, doc_id, n_bytes = info.filename[:-4].split("/")
             rows.append((int(doc_id) if doc_id else None, int(n_bytes), image))
             size += len(image)
