@@ -1,7 +1,8 @@
 """Operator 8: secrets, by an Aho-Corasick keyword prefilter, anchored expressions at its hits, and embedded checksums.
 
 One automaton holds the keywords of all kinds. A hexadecimal or digit run of 16 or more has a run of 4 hexadecimal
-digits at its start, so all 65,536 of those are keywords too; nothing can match where no keyword hits. At a hit the
+digits at its start, so all 65,536 of those are keywords too, and for cards one to three digits, a separator and a digit;
+nothing can match where no keyword hits. At a hit the
 kind's expression is tried at the keyword's start only, and hits inside an earlier match of the kind are passed over,
 which gives exactly the leftmost non-overlapping matches of a plain scan.
 
@@ -11,8 +12,9 @@ card or IBAN after a separator, shorter ends are tried: for cards of 13 digits o
 
 Keywords are looked up in the text with A-Z in lower case; positions are code points.
 
-Defined results: null counts as empty and has no span; texts are scanned whole; repeated rows each give a row; an
-empty table gives none.
+Defined results: null counts as empty and has no span; texts are scanned whole at any length; of spans that begin together
+the kind named first comes first; repeated rows each give a row; an empty table gives none; columns other than id and
+text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,6 +106,9 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(country.lower() + digit, ("iban", 3))
     for word in map("".join, product("0123456789abcdef", repeat=4)):
         found.add_word(word, ("digits" if word.isdigit() else "hex", 4))
+    for n in (1, 2, 3):
+        for parts in product(*["0123456789"] * n, " -", "0123456789"):
+            found.add_word("".join(parts), ("card", n + 2))
     found.make_automaton()
     return found
 
@@ -120,13 +125,13 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 free["assign"] = m.end()
                 if m.end(2) - m.start(2) >= 12:
                     found.append(("assign", at, m.end()))
-        elif what == "hex" or what == "digits":
-            if at >= free["hex"] and (m := HEX.match(text, at)):
+        elif what in ("hex", "digits", "card"):
+            if what != "card" and at >= free["hex"] and (m := HEX.match(text, at)):
                 # Where A-F made the keyword hit, the run may begin later; it has keywords of its own then.
                 free["hex"] = m.end()
                 if m.end() - at >= 16:
                     found.append(("hex", at, m.end()))
-            if what == "digits" and at >= free["card"] and not (at and text[at - 1] in "0123456789"):
+            if what != "hex" and at >= free["card"] and not (at and text[at - 1] in "0123456789"):
                 if to := card(text, at):
                     free["card"] = to
                     found.append(("card", at, to))
