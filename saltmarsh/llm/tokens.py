@@ -10,7 +10,8 @@ never stand next to each other inside a piece), so counting the parts is exact;
 Spaces: the model has identity normalisation, one dummy prefix space, and U+2581 for each space; an empty text has no token.
 
 Defined results: null counts as empty; control and unknown characters fall back to bytes; U+2581 in the text is a space;
-texts of any length are counted whole; repeated rows each give a row; an empty table gives none.
+texts of any length are counted whole; of pairs that rank alike the leftmost merges first; repeated rows each give a row;
+an empty table gives none; columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -128,6 +128,71 @@ def test_png_is_lossless_and_standard(tmp_path):
         media.from_png(media.to_png(data)[:-20] + b"12345678901234567890")
 
 
+def test_cards_with_early_separators():
+    for text in ("4-111111111111111", "41 1111 1111111111", "411-1111-1111 11111", "no 4111 1111 1111 1111."):
+        m = secrets.CARD.search(text)
+        assert [(k, a, b) for k, a, b in secrets.spans(text) if k == "card"] == [("card", *m.span())]
+    rnd = random.Random(9)
+    for _ in range(5_000):
+        text = "".join(rnd.choice("0123456789 -x.") for _ in range(40))
+        want, at = [], 0
+        while at < len(text):
+            to = secrets.card(text, at) if text[at].isdigit() and not (at and text[at - 1].isdigit()) else 0
+            if to:
+                want.append(("card", at, to))
+            at = to or at + 1
+        assert [s for s in secrets.spans(text) if s[0] == "card"] == want
+
+
+def test_media_query_against_independent_decoding(odd, folder):
+    """Whole rows: the stored form is read back by another path, features are worked out from the payload."""
+    spark = odd.sparkSession
+    path = folder(documents=odd)
+    rows = media.op10_media(spark, path).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for d in odd.collect():
+        r = by[d.doc_id].pop()
+        data = (d.text or "").encode()
+        full = data + b"\0" * (-len(data) % 64 or 64 * (not data))
+        image = media.to_png(full)
+        x = [list(full[at : at + 64]) for at in range(0, len(full), 64)]
+        flat = list(full)
+        n, total = len(flat), sum(flat)
+        var = (n * sum(b * b for b in flat) - total * total) * 1000 // (n * n)
+        steps = sum(abs(a - b) for u, v in zip(x, x[1:]) for a, b in zip(u, v)) * 1000 // max(1, n - 64)
+        assert r.feature == f"rows={len(x)};mean={total * 1000 // n};var={var};zeros={flat.count(0)};steps={steps}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), n, hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+    assert not any(by.values())
+
+
+def test_short_reads_and_directories_are_retried(real, monkeypatch):
+    manifest = media.store(real.limit(8).coalesce(1))
+    reader = media.ArchiveReader({"manifest": manifest, "retries": 1})
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    member, directory, calls = reader.member, reader.directory, []
+
+    def short(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise media.struct.error("unpack requires a buffer")
+        return member(*a)
+
+    def lost(*a):
+        calls.append(0)
+        if calls == [0]:
+            raise media.zipfile.BadZipFile("File is not a zip file")
+        return directory(*a)
+
+    monkeypatch.setattr(reader, "member", short)
+    monkeypatch.setattr(reader, "directory", lost)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 8
+    monkeypatch.setattr(media, "RANGES", 3)
+    assert len(reader.partitions()) <= 4
+
+
 def test_media_of_odd_rows(odd, none):
     spark = odd.sparkSession
     rows = media.described(media.load(spark, media.store(odd), range_bytes=2_000)).collect()

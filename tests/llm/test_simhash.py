@@ -111,3 +111,29 @@ def test_chain_of_components(spark):
 
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_registered_query_of_odd_rows(odd, folder):
+    """Whole rows of op2 by brute force: fingerprints bit by bit, components by all pairs."""
+    import xxhash
+
+    from saltmarsh.llm import simhash
+
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+
+    def bits(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        parts = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [b" ".join(words)] if words else []
+        h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [bits(t) for _, t in rows]
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                x, y = top[i], top[j]
+                top = [y if t == x else t for t in top]
+    want = [(k, f"{fps[i]:016x}", min((rows[j][0] for j in range(len(rows)) if top[j] == top[i] and rows[j][0] is not None), default=None)) for i, (k, _) in enumerate(rows)]
+    got = simhash.op2_simhash(odd.sparkSession, folder(documents=odd)).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

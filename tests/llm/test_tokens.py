@@ -114,3 +114,27 @@ def test_transducer_without_words(tmp_path):
 def test_empty(none):
     assert tokens.count_tokens(none).count() == 0
     assert bpe.encode(none, lexicon=bpe.fit(none)).count() == 0
+
+
+def test_registered_queries_of_odd_rows(odd, folder):
+    """Whole rows of op4 and op5 against the libraries."""
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+    import tokenizers
+
+    from saltmarsh.llm import bpe, tokens
+
+    spark, path = odd.sparkSession, folder(documents=odd)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(r.doc_id, r.text or "") for r in odd.collect()]
+    counts = [(k, len(t.encode()), n := len(pieces.encode(t)), n > 4096) for k, t in texts]
+    assert sorted(map(tuple, tokens.op4_token_counts(spark, path).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str) == sorted(counts, key=str)
+    digests = []
+    for k, t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        digests.append((k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.op5_bpe(spark, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str) == sorted(digests, key=str)
