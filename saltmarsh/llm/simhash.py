@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, slices, written
 
 WIDTH, RADIUS, HASH_SEED = 3, 2, 42
 BLOCKS = 8
@@ -167,9 +167,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     ones, until nothing changes. Every round is a written table, so a lost executor costs no more than a round.
     """
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 30))).first())
-
     def star(df: DataFrame, large: bool) -> DataFrame:
         around = df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -179,17 +176,19 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     df = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    was = state(df)
-    for _ in range(rounds):
-        if not was[0]:
-            break
-        df = written(star(star(df, True), False), "stars")
-        now = state(df)
-        if now == was:
+    n = df.count()
+    for _ in range(rounds if n else 0):
+        new = written(star(star(df, True), False), "stars")
+        was, n = n, new.count()
+        # Both are sets: as many edges, none of them new, is no change.
+        settled = n == was and new.join(df, ["a", "b"], "left_anti").isEmpty()
+        discard(df)
+        df = new
+        if settled:
             break
-        was = now
     else:
-        raise RuntimeError("components did not settle")
+        if n:
+            raise RuntimeError("components did not settle")
     return df.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
