@@ -9,8 +9,9 @@ no white space and a single space before another such character every pre-token
 spaces are independent; a part is looked up in the transducer, and merged exactly if it isn't there. Stretches with other
 white space go through the whole pre-token pattern. Decoding maps ids to their bytes, in order, read as UTF-8.
 
-Defined results: null counts as empty and has no ids; any text round-trips; texts are encoded whole; repeated rows each
-give a row; an empty table gives none.
+Defined results: null counts as empty and has no ids; any text round-trips; texts are encoded whole at any length; of pairs
+that rank alike the leftmost merges first; repeated rows each give a row; an empty table gives none; columns other than id
+and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .lexicon import Lexicon, build
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Longest word that is merged among others and kept; how many are kept, or up to twice as many.
-SHORT, KNOWN = 48, 100_000
+SHORT, KNOWN = 48, 40_000
 #: A comma or full stop after anything but a letter or numeral, or at the start.
 JOINED = re.compile(r"(?:[\W_]|\A)[,.]")
 LEXICON_WORDS = 131_072
@@ -268,7 +269,7 @@ def frequent_words(df: DataFrame, words: int = LEXICON_WORDS, text_col: str = "t
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(text.split(" "))
-            if len(counts) > 400_000:
+            if len(counts) > 150_000:
                 yield out()
         yield out()
 

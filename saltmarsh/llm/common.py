@@ -47,7 +47,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             yield from cut(batch.slice(at, rows))
 
 
-def sized_slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def sized_slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most about so many bytes of text in a column, a row at least."""
     for batch in batches:
         ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch.column(column)).to_pylist())])
