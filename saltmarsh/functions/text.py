@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]+"
+ALNUM = r"[\p{IsAlphabetic}\p{N}]+"
 #: Words that the filtered tokenizer leaves out, longest first.
 STOPWORDS = tuple("with will were from that was the its has for and are to on of it is in he by be at as an a".split())
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null counts as empty."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), lambda t: F.length(t) > 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM), F.lit(0))
 
 
 def filtered_tokens(text: Column) -> Column:
@@ -39,7 +39,11 @@ def words(text: Column) -> Column:
 def lexical_overlap(query: Column, content: Column) -> Column:
     """Jaccard of the two sets of words; words match without regard to A-Z and a-z, sets are case-sensitive."""
     q, c = F.array_distinct(words(query)), F.array_distinct(words(content))
-    low = F.array_distinct(F.transform(c, F.lower))
+    return overlap_of_words(q, c, F.array_distinct(F.transform(c, F.lower)))
+
+
+def overlap_of_words(q: Column, c: Column, low: Column) -> Column:
+    """lexical_overlap of distinct words that are worked out before: q of the query, c of the content, low those in lower case."""
     common = F.size(F.filter(q, lambda w: F.array_contains(low, F.lower(w))))
     return F.when((F.size(q) == 0) | (F.size(c) == 0), F.lit(0.0)).otherwise(common / (F.size(q) + F.size(c) - common))
 
