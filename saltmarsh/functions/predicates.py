@@ -97,7 +97,11 @@ class Variant:
         self.column = column
 
     def _at(self, key: str) -> Column:
-        return F.try_variant_get(F.col(self.column), f"$['{key}']", "variant")
+        """The key's value; a key that both kinds of quotes stand in can't be named in a path and is missing."""
+        if "'" in key and '"' in key:
+            return F.lit(None).cast("variant")
+        quote = '"' if "'" in key else "'"
+        return F.try_variant_get(F.col(self.column), f"$[{quote}{key}{quote}]", "variant")
 
     def _kind(self, key: str) -> Column:
         return F.schema_of_variant(self._at(key))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,20 @@ def fnv1a(data: bytes) -> int:
 WORDS = re.compile(r"[^\W_]+")
 
 
+@lru_cache(200_000)
+def hashed(word: str) -> tuple[int, float]:
+    """(hash of the word in lower case, signed weight by its bytes)."""
+    h = fnv1a(word.lower().encode())
+    weight = 1 + min(len(word.encode()), 5) * 0.2
+    return h, -weight if h >> 32 & 1 else weight
+
+
 def hash_embedding(text: str | None, dim: int) -> list[float]:
     """Runs of letters and digits: bucket by the hash of the lower-case word, sign by bit 32, weight by bytes and position;
     normalised. Without words, or if all cancel out, the first unit vector."""
-    v = np.zeros(dim)
-    for pos, word in enumerate(WORDS.findall(text or "")):
-        h = fnv1a(word.lower().encode())
-        weight = (1 + min(len(word.encode()), 5) * 0.2) / (1 + 0.05 * pos)
-        v[h % dim] += -weight if h >> 32 & 1 else weight
+    found = list(map(hashed, WORDS.findall(text or "")))
+    at = np.array([h % dim for h, _ in found], np.int64)
+    v = np.bincount(at, np.array([w for _, w in found]) / (1 + 0.05 * np.arange(len(found))), dim) if found else np.zeros(dim)
     norm = np.sqrt((v * v).sum())
     if norm <= 1e-6:
         v[0], norm = 1.0, 1.0

@@ -10,6 +10,8 @@ from ..functions import vector as V
 from .sparse import top_k
 
 WEIGHTS, HALF_LIFE = (0.5, 0.3, 0.2), 3600.0
+#: Queries that are broadcast at once.
+TURN = 1_000
 
 
 def blackboard(log: DataFrame) -> DataFrame:
@@ -39,16 +41,20 @@ def with_tag(episodes: DataFrame, tag: str) -> DataFrame:
 def recall(episodes: DataFrame, queries: DataFrame, now: Column, k: int, weights: tuple = WEIGHTS, half_life: float = HALF_LIFE) -> DataFrame:
     """queries (query_id, text, and embedding if there is one) -> the k best episodes of each, with all partial scores.
 
-    Relevance is the cosine (0 at least) where both sides have a vector, else the word overlap. Queries are a small batch;
-    episodes stream past it.
+    Relevance is the cosine (0 at least) where both sides have a vector, else the word overlap. Queries are broadcast in turns;
+    episodes stream past them, their words worked out once for all queries of a turn.
     """
     vector = F.col("q_embedding") if "embedding" in queries.columns else F.lit(None).cast("array<double>")
     q = queries.select("query_id", F.col("text").alias("q_text"), *([F.col("embedding").alias("q_embedding")] if "embedding" in queries.columns else []))
-    if q.limit(10_001).count() > 10_000:
-        raise ValueError("recall takes at most 10,000 queries at once")
+    q = q.withColumn("q_words", F.array_distinct(T.words(F.col("q_text"))))
+    turns, found = max(1, -(-q.count() // TURN)), None
     own = F.col("embedding") if "embedding" in episodes.columns else F.lit(None).cast("array<double>")
-    relevance = F.when(vector.isNotNull() & own.isNotNull(), F.greatest(F.lit(0.0), V.cosine(vector, own))).otherwise(T.lexical_overlap(F.col("q_text"), F.col("content")))
+    relevance = F.when(vector.isNotNull() & own.isNotNull(), F.greatest(F.lit(0.0), V.cosine(vector, own))).otherwise(T.overlap_of_words(F.col("q_words"), F.col("c_words"), F.col("c_low")))
     a, b, c = weights
-    x = episodes.join(F.broadcast(q), F.lit(True)).withColumns({"relevance": relevance, "recency": V.recency(now - F.col("timestamp"), half_life)})
-    x = x.withColumn("score", F.col("relevance") * a + F.col("recency") * b + F.col("importance") * c)
-    return top_k(x, k, id_col="id").select("query_id", "rank", "id", "score", "relevance", "recency", "importance")
+    parted = episodes.withColumn("c_words", F.array_distinct(T.words(F.col("content")))).withColumn("c_low", F.array_distinct(F.transform("c_words", F.lower)))
+    for t in range(turns):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == t) if turns > 1 else q
+        x = parted.join(F.broadcast(part), F.lit(True)).withColumns({"relevance": relevance, "recency": V.recency(now - F.col("timestamp"), half_life)})
+        x = top_k(x.withColumn("score", F.col("relevance") * a + F.col("recency") * b + F.col("importance") * c), k, id_col="id")
+        found = x if found is None else found.unionByName(x)
+    return found.select("query_id", "rank", "id", "score", "relevance", "recency", "importance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -62,8 +63,8 @@ class HybridEngine:
         ``prefilter`` to the documents before the search); then MMR, else reranking, else neither; then order, min_score
         and the final cut.
         """
-        if spec.top_k <= 0:
-            raise ValueError("top_k must be positive; a batch for 0 results needs no plan")
+        if spec.top_k <= 0:  # an empty result of the same columns
+            return self.query(queries.limit(0), dataclasses.replace(spec, top_k=1))
         engine, wide = self, 3 * spec.top_k
         if spec.prefilter and spec.condition is not None:
             docs = self.documents.where(spec.condition)

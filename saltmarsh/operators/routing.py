@@ -1,8 +1,8 @@
 """Routing tasks to agents: capability, role, load and priority scores, four strategies.
 
 Tasks: task_id, title, description, priority (0 to 3), required array<string>. Agents: agent_id, role, capabilities
-array<string>, active (running tasks), ord (registration order, optional). Agents are a registry of bounded size,
-checked before they are broadcast; ties go to the smaller agent_id.
+array<string>, active (running tasks), ord (registration order, optional). Agents are broadcast in turns of bounded size;
+ties go to the smaller agent_id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..functions.text import contains_any
 
-MOST_AGENTS, CONCURRENCY, CRITICAL = 10_000, 5, 0.8
+TURN, CONCURRENCY, CRITICAL = 2_000, 5, 0.8
 WEIGHTS = (0.45, 0.25, 0.20, 0.10)
 #: (capability asked for, role that suits it, bonus)
 ROLE_BONUS = (
@@ -43,67 +43,68 @@ def _is(name: str):
     return lambda x: x == name
 
 
-def role_affinity(required: Column, role: Column, title: Column, description: Column) -> Column:
-    text, bonus = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))), F.lit(0.5)
+def role_affinity(required: Column, role: Column, words: Column) -> Column:
+    """words: the roles that the task's text calls for."""
+    bonus = F.lit(0.5)
     for cap, suits, value in ROLE_BONUS:
         n = F.size(F.filter(required, _is(cap)))
         bonus = bonus + F.when(role == suits, n * value).otherwise(0.0)
-    for suits, keywords in ROLE_WORDS.items():
-        bonus = bonus + F.when((role == suits) & contains_any(text, *keywords), 0.2).otherwise(0.0)
-    return V.clamp(bonus)
+    return V.clamp(bonus + F.when(F.array_contains(words, role), 0.2).otherwise(0.0))
 
 
-def pairs(tasks: DataFrame, agents: DataFrame, concurrency: int = CONCURRENCY) -> DataFrame:
-    """Every task with every agent and all scores."""
-    if agents.limit(MOST_AGENTS + 1).count() > MOST_AGENTS:
-        raise ValueError(f"more than {MOST_AGENTS} agents")
+def classes(tasks: DataFrame) -> DataFrame:
+    """Tasks with ``words`` (the roles that their texts call for): scores depend on it, required and priority alone."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    called = [F.when(contains_any(text, *keywords), F.lit(role)) for role, keywords in ROLE_WORDS.items()]
+    return tasks.withColumn("words", F.array_compact(F.array(*called)))
+
+
+def scored(rows: DataFrame, agents: DataFrame, concurrency: int = CONCURRENCY) -> DataFrame:
+    """rows (class_id, required, priority, words), each with every agent and all scores."""
     active = F.col("active") if "active" in agents.columns else F.lit(0)
     ord_ = F.col("ord") if "ord" in agents.columns else F.col("agent_id")
     a = agents.select("agent_id", "role", "capabilities", active.alias("active"), ord_.alias("ord"))
-    x = tasks.join(F.broadcast(a), F.lit(True))
+    x = rows.join(F.broadcast(a), F.lit(True))  # a turn of agents at most
     x = x.withColumn("cap", capability(F.col("required"), F.col("capabilities")))
-    x = x.withColumn("role_score", role_affinity(F.col("required"), F.col("role"), F.col("title"), F.col("description")))
+    x = x.withColumn("role_score", role_affinity(F.col("required"), F.col("role"), F.col("words")))
     return x.withColumns({"load_score": V.workload(F.col("active"), concurrency), "prio_score": V.priority_tier(F.col("priority"), F.col("cap"))})
 
 
-def route(tasks: DataFrame, agents: DataFrame, strategy: str = "adaptive", concurrency: int = CONCURRENCY, weights: tuple = WEIGHTS, critical: float = CRITICAL) -> DataFrame:
+def route(tasks: DataFrame, agents: DataFrame, strategy: str = "adaptive", concurrency: int = CONCURRENCY, weights: tuple = WEIGHTS, critical: float = CRITICAL, turn: int = TURN) -> DataFrame:
     """(task_id, agent_id, confidence, fallbacks, error): default, least_loaded, priority or adaptive.
 
     Fallbacks are the next two candidates. A critical task whose best agent has less than ``critical`` of what it
-    requires is an error under ``priority``; its agent is null.
+    requires is an error under ``priority``; its agent is null. Tasks that ask for the same are routed once. Agents are
+    taken in turns of about ``turn``; each turn gives its best three.
     """
-    x = pairs(tasks, agents, concurrency)
+    if strategy not in ("default", "least_loaded", "priority", "adaptive"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    tasks = classes(tasks)
+    asked = ["required", "priority", "words"]
+    kinds = tasks.select(*asked).distinct().withColumn("class_id", F.struct(*asked))
+    # (fit, order): the best agent has the least order.
+    need = F.size("required") > 0
     if strategy == "default":
-        any_match = F.max("cap").over(Window.partitionBy("task_id"))
-        matched = (F.size("required") > 0) & (any_match > 0)
-        order = [F.desc(F.when(matched, F.col("cap")).otherwise(0.0)), F.asc("ord")]
-        x = x.withColumn("matched", matched)
-        confidence = F.when(F.col("matched"), F.col("cap")).otherwise(0.5)
+        order, confidence = F.struct(-F.col("cap"), F.col("ord"), F.col("agent_id")), F.when(need & (F.col("cap") > 0), F.col("cap")).otherwise(0.5)
     elif strategy == "least_loaded":
-        order = [F.desc("cap"), F.asc("active"), F.asc("agent_id")]
-        confidence = V.clamp(F.col("cap") * 0.7 + F.col("load_score") * 0.3)
-    elif strategy == "priority":
-        x = x.withColumn("fit", F.col("cap") * 0.6 + F.col("role_score") * 0.4)
-        order, confidence = [F.desc("fit"), F.asc("agent_id")], V.clamp(F.col("fit"))
-    elif strategy == "adaptive":
-        a, b, c, d = weights
-        x = x.withColumn("fit", V.clamp(F.col("cap") * a + F.col("role_score") * b + F.col("load_score") * c + F.col("prio_score") * d))
-        order, confidence = [F.desc("fit"), F.asc("agent_id")], F.col("fit")
+        order, confidence = F.struct(-F.col("cap"), F.col("active"), F.col("agent_id")), V.clamp(F.col("cap") * 0.7 + F.col("load_score") * 0.3)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    ranked = x.withColumn("confidence", confidence).withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy(*order))).where("n <= 3")
-    best = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    g = ranked.groupBy("task_id").agg(
-        best("agent_id").alias("agent_id"),
-        best("confidence").alias("confidence"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "agent_id")))).alias("f"),
-        best("cap").alias("cap"),
-        F.max("priority").alias("priority"),
-        F.max(F.size("required")).alias("n_required"),
-    )
-    unsafe = (F.col("priority") == 3) & (F.col("cap") < critical) & (F.col("n_required") > 0) & F.lit(strategy == "priority")
-    fallbacks = F.transform("f", lambda s: s["agent_id"])
-    return g.select("task_id", F.when(~unsafe, F.col("agent_id")).alias("agent_id"), F.when(~unsafe, F.col("confidence")).alias("confidence"), fallbacks.alias("fallbacks"), F.when(unsafe, F.lit("critical task without a capable agent")).alias("error"))
+        a, b, c, d = weights
+        fit = F.col("cap") * 0.6 + F.col("role_score") * 0.4 if strategy == "priority" else V.clamp(F.col("cap") * a + F.col("role_score") * b + F.col("load_score") * c + F.col("prio_score") * d)
+        order, confidence = F.struct(-fit, F.col("agent_id")), V.clamp(fit)
+    pick = F.struct(order.alias("order"), F.col("agent_id"), confidence.alias("confidence"), F.col("cap"))
+    turns, best = max(1, -(-agents.count() // turn)), None
+    for k in range(turns):
+        part = agents.where(F.pmod(F.xxhash64("agent_id"), F.lit(turns)) == k) if turns > 1 else agents
+        found = scored(kinds, part, concurrency).groupBy("class_id").agg(F.slice(F.array_sort(F.collect_list(pick)), 1, 3).alias("best"))
+        best = found if best is None else best.unionByName(found)
+    if turns > 1:
+        best = best.groupBy("class_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 3).alias("best"))
+    g = tasks.withColumn("class_id", F.struct(*asked)).join(best, "class_id", "left")
+    first = F.try_element_at("best", F.lit(1))
+    unsafe = F.coalesce((F.col("priority") == 3) & (first["cap"] < critical) & need, F.lit(False)) & F.lit(strategy == "priority")
+    fallbacks = F.coalesce(F.transform(F.slice("best", 2, 2), lambda s: s["agent_id"]), F.array())
+    return g.select("task_id", F.when(~unsafe, first["agent_id"]).alias("agent_id"), F.when(~unsafe, first["confidence"]).alias("confidence"), fallbacks.alias("fallbacks"), F.when(unsafe, F.lit("critical task without a capable agent")).alias("error"))
 
 
 def loads(events: DataFrame) -> DataFrame:
