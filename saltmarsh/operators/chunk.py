@@ -116,7 +116,12 @@ def chunk_text(text: str | None, config: ChunkConfig) -> list[tuple[int, int, st
         out = STRATEGIES[config.strategy](text, config)
     if text.isascii():
         return out
-    return [(_n(text[:a]), _n(text[:b]), t) for a, b, t in out]
+    # Bytes before each character that a chunk begins or ends at, in one pass.
+    at, before, n = 0, {}, 0
+    for k in sorted({k for a, b, _ in out for k in (a, b)}):
+        n += _n(text[at:k])
+        at, before[k] = k, n
+    return [(before[a], before[b], t) for a, b, t in out]
 
 
 def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,13 +156,15 @@ def _fixed_chars(rows: DataFrame, c: ChunkConfig) -> DataFrame:
     n, step = F.length("text"), _step(c.size, c.overlap)
     rows = rows.where(trim_unicode(F.col("text")) != "").where(F.lit(c.size > 0))
     last = F.greatest(F.ceil((n - c.size) / F.lit(step)).cast("int"), F.lit(0))
-    x = rows.select("doc_id", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("w"))
-    at = F.col("w") * step
-    x = x.withColumns({"at": at, "piece": F.substring("text", at + 1, F.lit(c.size))})
-    keep = (F.octet_length(trim_unicode(F.col("piece"))) >= c.min_chunk_size) | ((F.col("w") == 0) & (F.col("last") == 0))
-    # Byte offset of a window: the bytes of the characters before it.
-    start = F.octet_length(F.substring("text", F.lit(1), F.col("at"))).cast("long")
-    x = x.withColumns({"start_char": start, "end_char": start + F.octet_length("piece")})
-    # The index counts the kept windows; a window over the document's few dozen rows would shuffle them, an array doesn't.
-    kept = x.where(keep).groupBy("doc_id", "text").agg(F.array_sort(F.collect_list(F.struct("w", "start_char", "end_char", "piece"))).alias("c"))
-    return kept.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.start_char", "c.end_char", F.col("c.piece").alias("text"))
+    # All windows of a row, their byte offsets and their numbers stay in the row: repeated rows are documents by themselves.
+    steps = F.transform(F.sequence(F.lit(0), last), lambda w: F.octet_length(F.substring(F.col("text"), w * step + 1, F.lit(step))).cast("long"))
+    starts = F.aggregate(steps, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    x = rows.select("doc_id", "text", last.alias("last"), starts.alias("starts"))
+    piece = lambda w: F.substring(F.col("text"), w * step + 1, F.lit(c.size))
+    windows = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.struct(w.alias("w"), piece(w).alias("piece"), F.element_at("starts", w + 1).alias("start_char")))
+    long_enough = lambda s: F.octet_length(trim_unicode(s["piece"])) >= c.min_chunk_size
+    good = F.filter(windows, long_enough)
+    # A window that ends the text is kept, however short, where none before it was.
+    kept = F.when(F.size(good) > 0, good).otherwise(F.filter(windows, lambda s: s["w"] == F.col("last")))
+    found = x.select("doc_id", F.posexplode(kept).alias("chunk_index", "c"))
+    return found.select("doc_id", "chunk_index", "c.start_char", (F.col("c.start_char") + F.octet_length("c.piece")).alias("end_char"), F.col("c.piece").alias("text"))

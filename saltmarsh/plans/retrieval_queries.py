@@ -74,7 +74,7 @@ def stopword_filtered_tokens(spark, sf):
 
 def token_bigrams(spark, sf):
     grams = _docs(spark, sf).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("g"))
-    return grams.groupBy("g.first", "g.second").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return grams.groupBy("g.first", "g.second").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _dense(metric):
@@ -362,7 +362,7 @@ SQL = {
     "stopword_filtered_tokens": f"""WITH t AS (SELECT doc_id, {_tok("text")} AS tk FROM documents), f AS (SELECT doc_id, tk, list_filter(tk, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS)})) AS fk FROM t)
 SELECT doc_id, len(tk)::BIGINT AS n_tokens, len(fk)::BIGINT AS n_filtered, md5(array_to_string(fk, ' ')) AS digest FROM f""",
     "token_bigrams": f"""WITH t AS (SELECT {_tok("text")} AS tk FROM documents), g AS (SELECT unnest(list_transform(range(1, len(tk)), lambda i: {{'first': tk[i], 'second': tk[i + 1]}})) AS g FROM t)
-SELECT g.first AS first, g.second AS second, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 5""",
+SELECT g.first AS first, g.second AS second, count(*) AS n FROM g GROUP BY ALL""",
     **{f"dense_{m}_topk": f"WITH {_dense_sql(m)} {_OUT} dense" for m in ("cosine", "dot", "euclidean")},
     "vector_functions": f"""WITH e AS (SELECT vec_id, {_V} AS a FROM embeddings), p AS (SELECT e.vec_id, e.a, o.a AS b FROM e JOIN e o ON o.vec_id = e.vec_id + 1)
 SELECT vec_id, round(list_dot_product(a, b), 6) AS dot, round(sqrt(list_dot_product(a, a)), 6) AS norm, round(list_cosine_similarity(a, b), 6) AS cosine, round(1 / (1 + list_distance(a, b)), 6) AS euclidean FROM p""",
@@ -393,7 +393,7 @@ g AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS co
 SELECT query_id, md5(context) AS digest, doc_count, {_n_chars("context")}::BIGINT AS total_chars, false AS was_truncated, cited FROM g""",
     "chunk_fixed_chars": f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')), l AS (SELECT *, greatest(0, ceil((n - 500) / 450)::INT) AS last FROM d),
 w AS (SELECT doc_id, text, last, unnest(range(0, last + 1)) AS w FROM l), p AS (SELECT doc_id, w, last, substr(text, w * 450 + 1, 500) AS piece, {_n_chars("substr(text, 1, w * 450)")} AS s FROM w),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS i FROM p WHERE {_n_chars("regexp_replace(piece, '^\\s+|\\s+$', '', 'g')")} >= 10 OR last = 0)
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS i FROM (SELECT *, {_n_chars("regexp_replace(piece, '^\\s+|\\s+$', '', 'g')")} >= 10 AS good FROM p) QUALIFY good OR w = last AND count(*) FILTER (good) OVER (PARTITION BY doc_id) = 0)
 SELECT doc_id, i::INT AS chunk_index, doc_id || '_chunk_' || i AS chunk_id, s::BIGINT AS start_char, (s + {_n_chars("piece")})::BIGINT AS end_char, md5(piece) AS digest FROM k""",
     "semantic_cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {_V} AS b FROM embeddings WHERE 5000 - vec_id * 10 < 4000), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE * 0.5 + 0.05) AS a FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, entry_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM q, e WHERE list_cosine_similarity(a, b) >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(a, b) DESC, entry_id) = 1""",
@@ -413,7 +413,8 @@ w AS (SELECT query_id, id, ts, importance, list_distinct({_WORDS.format("q.text"
 i AS (SELECT *, len(list_filter(qw, lambda x: list_contains(list_transform(cw, lambda c: lower(c)), lower(x)))) AS n FROM w),
 s AS (SELECT query_id, id, importance, CASE WHEN len(cw) = 0 THEN 0 ELSE n / (len(qw) + len(cw) - n) END AS relevance, exp(-ln(2) * (100000 - ts) / 36000) AS recency FROM i)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * relevance + 0.3 * recency + 0.2 * importance DESC, id)::INT AS rank, id, round(0.5 * relevance + 0.3 * recency + 0.2 * importance, 6) AS score, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(importance, 6) AS importance FROM s QUALIFY rank <= 10""",
-    "ingest_report": f"""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum({_n_chars("text")})::BIGINT FROM documents) AS bytes, (WITH d AS (SELECT text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
- l AS (SELECT *, greatest(0, ceil((n - 500) / 450)::INT) AS last FROM d), w AS (SELECT text, last, unnest(range(0, last + 1)) AS w FROM l)
- SELECT count(*) FROM w WHERE {_n_chars("regexp_replace(substr(text, w * 450 + 1, 500), '^\\s+|\\s+$', '', 'g')")} >= 10 OR last = 0) AS chunks""",
+    "ingest_report": f"""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum({_n_chars("text")})::BIGINT FROM documents) AS bytes, (WITH d AS (SELECT row_number() OVER () AS r, text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
+ l AS (SELECT *, greatest(0, ceil((n - 500) / 450)::INT) AS last FROM d), w AS (SELECT r, text, unnest(range(0, last + 1)) AS w FROM l),
+ c AS (SELECT r, count(*) FILTER ({_n_chars("regexp_replace(substr(text, w * 450 + 1, 500), '^\\s+|\\s+$', '', 'g')")} >= 10) AS c FROM w GROUP BY r)
+ SELECT sum(greatest(1, c))::BIGINT FROM c) AS chunks""",
 }
