@@ -3,12 +3,14 @@
 Log rows: seq BIGINT, key BINARY, value BINARY (null for a delete), is_delete BOOLEAN. The newest row of a key decides
 (max_by on seq: hash aggregation with map-side partials); filters on the key commute with that and reach the scan.
 Commits write data first and then one manifest line under a temporary name that is renamed, so readers see whole
-versions; a DataFrame pins the version it was opened with.
+versions; a DataFrame pins the version it was opened with: compaction leaves the files that it replaces, and ``vacuum``
+deletes them once they are old enough that no reader can still use them.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,14 @@ class NotFound(StoreError):
     """A key, document or entity that isn't there."""
 
 
+class Conflict(StoreError):
+    """A version that another writer has committed."""
+
+
+class Closed(StoreError):
+    """A store that was closed."""
+
+
 @dataclass(frozen=True)
 class Options:
     create_if_missing: bool = True
@@ -142,16 +152,18 @@ class KVStore:
                 raise InvalidArgument(f"{path} does not exist")
             self._fs.mkdirs(self._path(f"{self.path}/manifest"))
             self._fs.mkdirs(self._path(f"{self.path}/data"))
+        self.closed = False
         self.version, self.last_seq, self.files = self._recover()
 
     def _recover(self) -> tuple[int, int, dict[str, dict]]:
         """Replays the manifest's edits in order; an edit that can't be read ends the replay."""
         version, last, files = 0, 0, {}
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifest")) if s.getPath().getName().endswith(".json"))
+        # One job reads the whole folder; an edit is a few lines of JSON.
+        texts = {r.name: r.value for r in self.spark.read.text(f"{self.path}/manifest/*.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()} if names else {}
         for name in names:
-            text = "".join(r.value for r in self.spark.read.text(f"{self.path}/manifest/{name}", wholetext=True).collect())
             try:
-                edit = json.loads(text)
+                edit = json.loads(texts.get(name, ""))
                 for gone in edit["deleted"]:
                     files.pop(gone, None)
                 for f in edit["added"]:
@@ -170,14 +182,17 @@ class KVStore:
         out.write(bytearray(edit.encode()))
         out.close()
         if self._fs.exists(final) or not self._fs.rename(temp, final):
-            raise StoreError(f"version {version} was committed by another writer")
+            raise Conflict(f"version {version} was committed by another writer")
         self.version, self.last_seq = version, last_seq
         for gone in deleted:
             self.files.pop(gone, None)
         self.files |= {f["file"]: f for f in added}
 
-    def _write(self, rows: DataFrame, level: int, name: str) -> dict:
+    def _write(self, rows: DataFrame, level: int, name: str, input_bytes: int = 0) -> dict:
+        """One run of files, each of about target_file_bytes, split by ranges of the key where there are several."""
         path = f"{self.path}/data/{name}"
+        if (parts := -(-input_bytes // max(1, self.options.target_file_bytes))) > 1:
+            rows = rows.repartitionByRange(parts, "key")
         writer = rows.select(*SCHEMA.names).sortWithinPartitions("key", F.desc("seq")).write
         if self.options.bloom_bits:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
@@ -192,15 +207,18 @@ class KVStore:
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def write(self, ops: DataFrame) -> int:
-        """ops (op_idx, key, value, is_delete): one commit, sequence numbers in the order of op_idx; returns how many."""
-        n = ops.count()
-        if not n:
-            return 0
-        top = ops.agg(F.max("op_idx")).first()[0]
+        """ops (op_idx, key, value, is_delete): one commit, sequence numbers in the order of op_idx; returns how many. The
+        operations are evaluated once; what is committed is what was written."""
+        if self.closed:
+            raise Closed(self.path)
         rows = ops.withColumn("seq", F.col("op_idx").cast("long") + self.last_seq + 1).withColumn("value", F.when(~F.col("is_delete"), F.col("value")))
-        meta = self._write(rows, 0, f"l0-{self.version + 1:012d}")
-        self._commit([meta], [], self.last_seq + 1 + top)
-        return n
+        name = f"l0-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+        meta = self._write(rows, 0, name)
+        if not meta["rows"]:
+            self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
+            return 0
+        self._commit([meta], [], meta["max_seq"])
+        return meta["rows"]
 
     def write_batch(self, ops: list[tuple]) -> int:
         """("put", key, value) and ("delete", key); later operations on a key win; an empty batch does nothing."""
@@ -238,22 +256,34 @@ class KVStore:
         return {"version": self.version, "last_sequence": self.last_seq, "files_per_level": levels, "bytes": sum(f["bytes"] for f in self.files.values())}
 
     def compact(self, passes: int = 100) -> int:
-        """Runs compactions until none is due; returns how many ran. Old files go after the commit."""
+        """Runs compactions until none is due; returns how many ran. Replaced files stay for open readers until vacuum()."""
         done = 0
         for _ in range(passes):
             task = pick_compaction(self.catalogue(), self.options)
             if task is None:
                 break
             log = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/data/{f}" for f in task["inputs"]])
-            meta = self._write(compacted(log, task["bottom"]), task["target"], f"l{task['target']}-{self.version + 1:012d}")
+            meta = self._write(compacted(log, task["bottom"]), task["target"], f"l{task['target']}-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}", sum(self.files[f]["bytes"] for f in task["inputs"]))
             self._commit([meta], task["inputs"], self.last_seq)
-            for f in task["inputs"]:
-                self._fs.delete(self._path(f"{self.path}/data/{f}"), True)
             done += 1
         return done
 
+    def vacuum(self, older_than: float = 7 * 86_400) -> int:
+        """Deletes runs that the current version doesn't name and that were last changed so many seconds ago; returns how
+        many. Readers that are older than that must open the store anew."""
+        now, gone = self.spark.sparkContext._jvm.System.currentTimeMillis(), 0
+        for s in self._fs.listStatus(self._path(f"{self.path}/data")):
+            if s.getPath().getName() not in self.files and now - s.getModificationTime() >= older_than * 1000:
+                gone += self._fs.delete(s.getPath(), True)
+        return gone
+
+    def flush(self) -> int:
+        """The current version; every commit is already durable."""
+        return self.version
+
     def close(self) -> None:
-        """Every commit is already durable."""
+        """Every commit is already durable; later writes fail."""
+        self.closed = True
 
     def options_dict(self) -> dict:
         return asdict(self.options)

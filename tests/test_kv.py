@@ -128,3 +128,37 @@ def test_documents(spark):
     assert [(r.doc_id, r.version) for r in dead.collect()] == [(1, 3)] and S.current(d.union(dead)).count() == 0
     chunks = spark.createDataFrame([(1, 1, 0, "c", 0, 1, "o"), (1, 2, 1, "d", 1, 2, "w"), (1, 2, 0, "c", 0, 1, "n")], "doc_id long, version int, chunk_index int, chunk_id string, start_char long, end_char long, text string")
     assert [c.text for c in S.with_chunks(d, chunks).first().chunks] == ["n", "w"]
+
+
+def test_open_readers_survive_compaction(spark, tmp_path):
+    """A DataFrame keeps the version it was opened with; vacuum deletes what no version names."""
+    store = K.KVStore(spark, f"file://{tmp_path}/db", K.Options(l0_files=2))
+    store.put(b"a", b"1")
+    store.put(b"b", b"2")
+    old = store.scan()
+    assert store.compact() == 1
+    store.delete(b"a")
+    assert [bytes(r.key) for r in old.collect()] == [b"a", b"b"]
+    assert store.vacuum() == 0 and [bytes(r.key) for r in store.scan().collect()] == [b"b"]
+    assert store.vacuum(older_than=0) == 2
+    assert [bytes(r.key) for r in K.KVStore(spark, f"file://{tmp_path}/db").scan().collect()] == [b"b"]
+    store.close()
+    with pytest.raises(K.Closed):
+        store.put(b"c", b"3")
+
+
+def test_operations_are_evaluated_once(spark, tmp_path):
+    """Sequence numbers fit what was written even where the operations give other rows each time."""
+    store = K.KVStore(spark, f"file://{tmp_path}/once")
+    ops = spark.range(50).select(F.col("id").alias("op_idx"), F.encode(F.rand().cast("string"), "UTF-8").alias("key"), F.encode(F.lit("v"), "UTF-8").alias("value"), F.lit(False).alias("is_delete")).where(F.rand() < 0.5)
+    n = store.write(ops)
+    assert n == store.log().count() and store.last_seq == store.log().agg(F.max("seq")).first()[0]
+    assert store.write(ops.limit(0)) == 0 and store.version == 1
+
+
+def test_large_runs_are_split_by_key(spark, tmp_path):
+    store = K.KVStore(spark, f"file://{tmp_path}/split", K.Options(l0_files=1, target_file_bytes=2_000))
+    store.write_batch([("put", f"k{i:05d}".encode(), str(i * 7919).encode() * 5) for i in range(600)])
+    store.compact()
+    files = store.log().select(F.input_file_name().alias("f"), "key").groupBy("f").agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("a").collect()
+    assert len(files) > 2 and all(x.b < y.a for x, y in zip(files, files[1:]))
