@@ -18,9 +18,11 @@ from ..operators import fusion as Fu
 from ..operators import memory as M
 from ..operators import metrics as Me
 from ..operators import rerank as R
+from ..operators.rag import Rag
 from ..operators.retrieve import HybridEngine, RagQuery
 from ..operators.sparse import SparseIndex
 from ..session import table
+from ..storage import scratch
 
 #: (query_id, text, id of the vector that stands for its embedding)
 BATCH = [(1, "the tion of er", 0), (2, "ing re and on the", 1), (3, "heit der ung", 2)]
@@ -248,6 +250,32 @@ def self_eval(spark, sf):
     return Ev.self_eval(_docs(spark, sf), 10).select(*[_r(m) for m in Ev.METRICS], "n_samples")
 
 
+def _rag(spark, sf):
+    """The documents ingested into a store of the session's own; embeddings are those of the table."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source").join(vectors, "doc_id", "left")
+    rag = Rag(spark, scratch(spark, "rag"), embedder=None, chunking=Ch.ChunkConfig("fixed_chars", 500, 50, 10))
+    rag.ingest(docs)
+    return rag
+
+
+def rag_query(spark, sf):
+    """Two of three queries, then all: the first two answers come from the cache, and are the same."""
+    rag, q = _rag(spark, sf), _queries(spark, sf, True)
+    spec = RagQuery(top_k=10, strategy="sparse", rerank=True)
+    rag.query(q.where("query_id < 3"), spec, now=1)
+    return rag.query(q, spec, now=2).select("query_id", "doc_id", _r("score"), "rank", "cached")
+
+
+def delete_document(spark, sf):
+    """Search after every third document was deleted, asked before and after, so that cached answers must go too."""
+    rag, q = _rag(spark, sf), _queries(spark, sf, True)
+    spec = RagQuery(top_k=10, strategy="sparse")
+    rag.query(q, spec, now=1)
+    rag.delete(table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id"))
+    return rag.query(q, spec, now=2).select("query_id", "doc_id", _r("score"), "rank")
+
+
 def ingest_report(spark, sf):
     docs = _docs(spark, sf)
     return Me.ingest_report(docs, Ch.chunk(docs, Ch.ChunkConfig("fixed_chars", 500, 50, 10)))
@@ -270,6 +298,7 @@ QUERIES = {
     "context_assembly": context_assembly, "prompts": prompts,
     "chunk_fixed_chars": _chunks("fixed_chars", size=500, overlap=50, min_chunk_size=10), "chunk_fixed_tokens": _chunks("fixed_tokens", size=200, overlap=20), "chunk_paragraph": _chunks("paragraph", min_chunk_size=10), "chunk_sentence": _chunks("sentence"),
     "hash_embedding": hash_embedding, "semantic_cache_lookup": semantic_cache_lookup, "cache_invalidate": cache_invalidate, "cache_insert": cache_insert,
+    "rag_query": rag_query, "delete_document": delete_document,
     "ir_metrics": ir_metrics, "self_eval": self_eval, "ingest_report": ingest_report, "memory_recall": memory_recall,
 }
 
@@ -387,6 +416,11 @@ SELECT event_id, coalesce(k > 50 AND t <> 'VARCHAR', false) AS p_gt, coalesce(k
 x AS (SELECT query_id, doc_id, rank AS initial_rank, 0.7::DOUBLE * combined_score + (1 - 0.7::DOUBLE) * round(score, 6) AS s FROM sparse JOIN explained USING (query_id, doc_id)),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, initial_rank)::INT AS new_rank FROM x)
 SELECT query_id, doc_id, round(s, 6) AS reranked_score, initial_rank, new_rank, initial_rank - new_rank AS rank_delta FROM y WHERE new_rank <= 10""",
+    "rag_query": f"""WITH {_BATCH}, {_INDEX}, {_bm25(30)}, {_EXPLAIN},
+x AS (SELECT query_id, doc_id, rank AS initial_rank, 0.7::DOUBLE * combined_score + (1 - 0.7::DOUBLE) * score AS s FROM sparse JOIN explained USING (query_id, doc_id))
+SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank, query_id < 3 AS cached
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, initial_rank) AS n FROM x QUALIFY n <= 10)""",
+    "delete_document": f"WITH {_BATCH}, {_INDEX.replace('FROM documents)', 'FROM documents WHERE doc_id % 3 <> 0)')}, {_bm25(10)} {_OUT} sparse",
     "context_assembly": f"""WITH {_BATCH}, {_INDEX}, {_bm25(5)},
 b AS (SELECT query_id, rank, s.doc_id, '[' || rank || '] (' || s.doc_id || '): ' || text AS block FROM sparse s JOIN documents USING (doc_id)),
 g AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS doc_count, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS cited FROM b GROUP BY query_id)

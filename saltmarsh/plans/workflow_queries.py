@@ -11,6 +11,7 @@ from ..operators import memory as M
 from ..operators import metrics as Me
 from ..operators import reflection as R
 from ..operators import routing as Ro
+from ..operators.workflow import Workflow
 from ..session import table
 from ..streaming import events as E
 
@@ -67,6 +68,19 @@ def ready_tasks(spark, sf):
     return G.ready(tasks.withColumn("status", status), edges).select("task")
 
 
+def workflow_summary(spark, sf):
+    """Parts as tasks, each behind the part of half its number; the first critical one without a capable agent stops the run."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    required = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(CAPS, k % 6), pick(CAPS, F.expr("p_size % 6"))))
+    priority = F.when(k % 97 == 96, 3).otherwise(1)
+    tasks = p.select(k.alias("task_id"), pick(TITLES, F.expr("p_size % 6")).alias("title"), F.col("p_brand").alias("description"), priority.alias("priority"), required.alias("required"))
+    w = Workflow("parts", tasks, _edges(spark, sf)[1], _agents(spark, sf))
+    w.run("priority")
+    return w.summary()
+
+
 def _steps(spark, sf):
     c = table(spark, sf, "conversations")
     dim = F.when(F.col("conv_id") % 3 == 0, "safety").otherwise("style")
@@ -156,6 +170,7 @@ def calculator(spark, sf):
 QUERIES = {
     **{f"route_{s}": _route(s) for s in ("default", "least_loaded", "priority", "adaptive")},
     "agent_load": agent_load, "dag_tiers": dag_tiers, "dag_tiers_recursive": dag_tiers_recursive, "ready_tasks": ready_tasks,
+    "workflow_summary": workflow_summary,
     "reflection_verdicts": reflection_verdicts, "reflection_states": reflection_states, "reflection_critiques": reflection_critiques,
     "event_metrics": event_metrics, "latency_summary": latency_summary, "tool_usage": tool_usage, "recent_events": recent_events,
     "event_tumbling": event_tumbling, "event_sliding": event_sliding, "event_session": event_session, "event_deduplicated": event_deduplicated,
@@ -204,6 +219,11 @@ SQL = {
 s AS (SELECT *, sum(delta) OVER (PARTITION BY agent_id ORDER BY seq) AS s FROM d) SELECT agent_id, seq, (s - least(0, min(s) OVER (PARTITION BY agent_id ORDER BY seq)))::BIGINT AS active FROM s""",
     "dag_tiers": "SELECT p_partkey AS task, (length(bin(p_partkey)) - 1)::INT AS tier FROM part",
     "dag_tiers_recursive": "WITH RECURSIVE w(task, tier) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey <= 1 UNION ALL SELECT p_partkey, tier + 1 FROM w JOIN part ON p_partkey // 2 = w.task AND p_partkey > 1) SELECT task, max(tier)::INT AS tier FROM w GROUP BY task",
+    "workflow_summary": f"""WITH {_ROUTING.split("FROM orders")[0].replace("o_orderkey", "p_partkey").replace("o_custkey", "p_size").replace("o_orderstatus", "p_brand").replace("(p_partkey % 4)::INT", "CASE WHEN p_partkey % 97 = 96 THEN 3 ELSE 1 END")}FROM part{_ROUTING.split("FROM orders")[1]},
+z AS (SELECT *, cap * 0.6::DOUBLE + role_score * 0.4::DOUBLE AS fit FROM y), n AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY fit DESC, agent_id) = 1),
+o AS (SELECT *, row_number() OVER (ORDER BY length(bin(task_id)), task_id) AS place, priority = 3 AND cap < 0.8 AND len(req) > 0 AS bad FROM n), s AS (SELECT min(place) FILTER (bad) AS stop FROM o),
+c AS (SELECT count(*) AS total, count(*) FILTER (stop IS NULL OR place < stop) AS done, count(*) FILTER (place = stop) AS failed FROM o, s)
+SELECT 'parts' AS workflow_id, CASE WHEN failed = 0 THEN 'succeeded' ELSE 'failed' END AS status, total AS total_tasks, done AS completed_tasks, failed AS failed_tasks, 2 * done AS total_messages FROM c""",
     "ready_tasks": "SELECT p_partkey AS task FROM part WHERE p_partkey % 3 = 1 AND (p_partkey <= 1 OR (p_partkey // 2) % 3 = 0)",
     "reflection_verdicts": f"WITH {_STEPS} SELECT task_id, iteration, round(score, 6) AS score, critical_ok, verdict FROM v",
     "reflection_states": f"""WITH {_STEPS}, st AS (SELECT *, verdict = 'approved' OR score >= 0.85 AS ok FROM v)
