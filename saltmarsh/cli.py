@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import shlex
 import sys
 import time
@@ -14,7 +15,9 @@ from .functions import predicates as P
 from .operators import evaluate as Ev
 from .operators import kv as K
 from .operators.chunk import ChunkConfig, chunk
+from .operators.rag import Rag
 from .operators.retrieve import HybridEngine, RagQuery
+from .operators.workflow import Workflow
 from .service.rpc import default_server
 from .service.tools import builtin
 from .session import build_session
@@ -23,7 +26,7 @@ from .sources import documents as Src
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="saltmarsh")
-    p.add_argument("--db", default="file:///tmp/saltmarsh-db")
+    p.add_argument("--db", default=os.environ.get("SALTMARSH_DB"), required="SALTMARSH_DB" not in os.environ, help="folder that all executors share")
     p.add_argument("--format", choices=("text", "json", "tsv"), default="text")
     c = p.add_subparsers(dest="command", required=True)
 
@@ -40,8 +43,15 @@ def parser() -> argparse.ArgumentParser:
     add("delete", "key")
     add("scan", start=str, end=str, limit=int, reverse=bool)
     add("batch", "file")
-    for name in ("compact", "stats", "inspect", "repl", "serve"):
+    for name in ("compact", "flush", "stats", "inspect", "repl", "serve"):
         add(name)
+    add("vacuum", older_than=float)
+    add("rag-ingest", "documents")
+    add("rag-ask", "text", top_k=int)
+    add("rag-delete", "ids")
+    add("rag-stats")
+    add("agent-run", "workflow", "agents", strategy=str)
+    add("agent-status", "workflow_id", status=str)
     add("bench", ops=int)
     add("query", "documents", "text", top_k=int, filter=list, min_score=float, rerank=bool)
     add("chunk", "documents", strategy=str, size=int, overlap=int)
@@ -81,6 +91,33 @@ def run(args: argparse.Namespace, spark, store: K.KVStore) -> list[dict]:
         return [{"operations": n}]
     elif name == "compact":
         return [{"compactions": store.compact()}]
+    elif name == "flush":
+        return [{"version": store.flush()}]
+    elif name == "vacuum":
+        return [{"deleted": store.vacuum(*([args.older_than] if args.older_than is not None else []))}]
+    elif name.startswith("rag-"):
+        rag = Rag(spark, f"{store.path}/rag")
+        if name == "rag-ingest":
+            docs = Src.documents(spark, args.documents)
+            return [rag.ingest(docs.select(F.col("id").cast("long").alias("doc_id"), "text", *[c for c in docs.columns if c not in ("id", "text")]))]
+        if name == "rag-delete":
+            return [{"deleted": rag.delete(spark.createDataFrame([(int(i),) for i in args.ids.split(",")], "doc_id long"))}]
+        if name == "rag-stats":
+            return [rag.stats()]
+        q = spark.createDataFrame([(1, args.text)], "query_id long, text string")
+        return [r.asDict() for r in rag.query(q, RagQuery(top_k=args.top_k or 5, rerank=True)).select("rank", "doc_id", "score").orderBy("rank").collect()]
+    elif name == "agent-run":
+        tasks, edges = Src.workflow(spark, args.workflow)
+        levels = F.create_map(*[F.lit(x) for k, v in enumerate(("low", "medium", "high", "critical")) for x in (v, k)])
+        tasks = tasks.select(F.col("id").alias("task_id"), "title", "description", F.coalesce(levels[F.lower("priority")], F.lit(1)).alias("priority"), F.coalesce("required_capabilities", F.array()).alias("required"))
+        agents = spark.read.option("multiLine", True).schema("id string, role string, capabilities array<string>").json(args.agents).withColumnRenamed("id", "agent_id")
+        w = Workflow(os.path.basename(args.workflow).rpartition(".")[0] or "workflow", tasks, edges, agents)
+        w.run(args.strategy or "adaptive")
+        w.checkpoint(f"{store.path}/workflows")
+        return [w.summary().first().asDict()]
+    elif name == "agent-status":
+        w = Workflow.restore(spark, f"{store.path}/workflows", args.workflow_id)
+        return [{"task_id": r.task_id, "status": r.status} for r in (w.by_status(args.status) if args.status else w.status()).orderBy("task_id").collect()]
     elif name == "stats":
         return [store.stats()]
     elif name == "inspect":
@@ -124,7 +161,7 @@ def repl(spark, store, lines=None, out=print) -> None:
         if words[0] in ("exit", "quit"):
             break
         try:
-            out(show(run(parser().parse_args(words), spark, store), "text"))
+            out(show(run(parser().parse_args(["--db", store.path, *words]), spark, store), "text"))
         except SystemExit:
             out(f"error: unknown command {words[0]!r}")
         except Exception as e:

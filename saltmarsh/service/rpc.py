@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable
+from dataclasses import asdict
 from typing import IO, Any
 
 from .tools import Registry
@@ -117,12 +118,18 @@ class Server:
                 out.flush()
 
 
-def default_server(store, registry: Registry) -> Server:
-    """The built-in resources and prompts over a store."""
+def default_server(store, registry: Registry, rag=None, workflow=None) -> Server:
+    """The built-in resources and prompts over a store, and those of an engine and a workflow if they are given."""
     server = Server(registry)
     server.resource("store://stats", "Files, versions, bytes", store.stats)
     server.resource("store://options", "Options of the store", store.options_dict)
     server.resource("store://manifest", "Files of the current version", lambda: sorted(store.files.values(), key=lambda f: f["file"]))
+    if rag is not None:
+        server.resource("rag://stats", "Documents, versions, cache", rag.stats)
+        server.resource("rag://config", "Chunking, cache, context", lambda: {name: asdict(getattr(rag, name)) for name in ("chunking", "cache", "context")})
+    if workflow is not None:
+        server.resource("agent://state", "Tasks by status", lambda: {r.status: r["count"] for r in workflow.status().groupBy("status").count().collect()})
+        server.resource("agent://agents", "Registered agents", lambda: [r.asDict() for r in workflow.agents.select("agent_id", "role", "capabilities").orderBy("agent_id").limit(1_000).collect()])
     server.prompt("troubleshoot", "Looks into a store's problem", ("symptom",), lambda a: f"A store shows: {a['symptom']}\nIts figures: {json.dumps(store.stats())}\nFind the likely cause and the next check.")
     server.prompt("synthesize", "Answers from passages", ("query", "context"), lambda a: f"Answer from the passages alone.\n\n{a['context']}\n\nUser Query: {a['query']}")
     server.prompt("orchestrate", "Plans tasks for agents", ("goal",), lambda a: f"Split this goal into tasks with dependencies and required capabilities: {a['goal']}")

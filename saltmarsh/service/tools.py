@@ -9,6 +9,9 @@ from typing import Any
 
 from ..functions.predicates import require
 from ..operators.kv import KVStore
+from ..operators.rag import Rag
+from ..operators.retrieve import RagQuery
+from ..operators.workflow import Workflow
 
 
 @dataclass(frozen=True)
@@ -68,12 +71,28 @@ def _pairs(df) -> list[dict]:
     return [{"key": bytes(r.key).decode("utf-8", "replace"), "value": bytes(r.value).decode("utf-8", "replace")} for r in df.collect()]
 
 
-def builtin(store: KVStore | None = None) -> Registry:
-    """calculator and echo; with a store also kv_get, kv_put, kv_delete, kv_scan (20 rows unless told) and kv_stats."""
+def builtin(store: KVStore | None = None, rag: Rag | None = None, workflow: Workflow | None = None) -> Registry:
+    """calculator and echo; with a store also kv_get, kv_put, kv_delete, kv_scan (20 rows unless told) and kv_stats; with an
+    engine rag_query, with a workflow agent_run."""
     found = Registry().add(
         Tool("calculator", "Arithmetic on two numbers", lambda x: calculate(x["op"], x["a"], x["b"]), ("op", "a", "b")),
         Tool("echo", "Returns its text", lambda x: x["text"], ("text",)),
     )
+    if rag is not None:
+
+        def ask(x: dict) -> list[dict]:
+            q = rag.spark.createDataFrame([(1, str(x["query"]))], "query_id long, text string")
+            rows = rag.query(q, RagQuery(top_k=int(x.get("top_k", 5)), rerank=True)).orderBy("rank").collect()
+            return [{"doc_id": r.doc_id, "score": r.score, "cached": r.cached} for r in rows]
+
+        found.add(Tool("rag_query", "The documents that answer a question", ask, ("query",), ("top_k",)))
+    if workflow is not None:
+
+        def run(x: dict) -> dict:
+            workflow.run(x.get("strategy", "adaptive"))
+            return workflow.summary().first().asDict()
+
+        found.add(Tool("agent_run", "Runs the workflow's tasks", run, (), ("strategy",)))
     if store is None:
         return found
 
