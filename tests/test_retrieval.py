@@ -161,8 +161,8 @@ def test_hybrid_engine_filters_after_the_cut(spark):
     late = engine.query(q, RagQuery(top_k=3, condition=F.col("kind") == "y")).collect()
     early = engine.query(q, RagQuery(top_k=3, condition=F.col("kind") == "y", prefilter=True)).collect()
     assert late == [] and [r.doc_id for r in sorted(early, key=lambda r: r["rank"])] == [10, 11, 12]
-    with pytest.raises(ValueError):
-        engine.query(q, RagQuery(top_k=0))
+    empty = engine.query(q, RagQuery(top_k=0))
+    assert empty.count() == 0 and "rank" in empty.columns
 
 
 def test_context(spark):
@@ -258,3 +258,40 @@ def test_memory(spark):
     assert r[0].id == "e1" and r[0].relevance == pytest.approx(0.5) and r[0].recency == pytest.approx(0.5)
     assert [x.id for x in M.with_tag(e, "STORAGE").collect()] == ["e1"] and M.of_task(e, "t2").count() == 1 and M.of_agent(e, "ag").count() == 2
     assert M.newest(e, 1).count() == 2  # ten at least
+
+
+def test_the_last_window_stays_where_none_was_kept(spark):
+    """20 characters in windows of 10, 12 bytes at least: only the window that ends the text is left; repeated rows are apart."""
+    texts = [(1, "abcdefghij" * 2), (1, "abcdefghij" * 2), (2, "é" * 25), (3, "  "), (4, "x")]
+    c = ChunkConfig("fixed_chars", 10, 0, 12)
+    got = sorted((r.doc_id, r.chunk_index, r.start_char, r.end_char, r.text) for r in chunk(spark.createDataFrame(texts, "doc_id long, text string"), c).collect())
+    want = sorted((k, n, *piece) for k, t in texts for n, piece in enumerate(chunk_text(t, c)))
+    assert got == want and got[:2] == [(1, 0, 10, 20, "abcdefghij")] * 2
+
+
+def test_a_written_index_finds_the_same(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    q = spark.createDataFrame([(1, "the tion of er"), (2, "heit der ung"), (3, "")], "query_id long, text string")
+    lazy = SparseIndex.build(docs)
+    rows = lambda index: sorted(map(tuple, index.search(q, 5).collect()))
+    kept = lazy.write(f"file://{tmp_path}/index")
+    assert rows(kept) == rows(lazy) and len(rows(lazy)) == 10
+    import saltmarsh.operators.sparse as sparse
+
+    few, sparse.LITERAL_TERMS = sparse.LITERAL_TERMS, 1
+    try:
+        assert rows(kept) == rows(lazy)
+    finally:
+        sparse.LITERAL_TERMS = few
+    gone = docs.where("doc_id % 2 = 0").select("doc_id")
+    assert all(r[1] % 2 for r in rows(kept.remove(gone)))
+
+
+def test_agents_in_turns_route_alike(spark):
+    from saltmarsh.operators import routing as Ro
+
+    tasks = spark.createDataFrame([(k, ("plan", "code", "test")[k % 3], "", k % 4, ["reflection", "code_execution"][: k % 3]) for k in range(30)], "task_id long, title string, description string, priority int, required array<string>")
+    agents = spark.createDataFrame([(k, ("coder", "critic", "planner")[k % 3], [("reflection", "code_execution", "storage_ops")[k % 3]], k % 5) for k in range(25)], "agent_id long, role string, capabilities array<string>, active int")
+    for s in ("default", "least_loaded", "priority", "adaptive"):
+        one, many = (sorted(map(str, Ro.route(tasks, agents, s, turn=t).collect())) for t in (100, 4))
+        assert one == many and len(one) == 30
