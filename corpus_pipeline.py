@@ -45,8 +45,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts that share 0.8 of their five-word shingles: the smallest id, rows without an
-    id last, then the smallest hash of the text."""
+    """One row of each component of texts that share 0.8 of their five-word shingles, found by operator 2's SimHash and
+    BK-trees and checked on the exact sets: the smallest id, rows without an id last, then the smallest hash of the text."""
     rows, found = shingles.near_copies(docs.select(COLUMNS))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
     ranked = written(rows.select("row", order.alias("order")).join(found, "row"), "ranked")

@@ -1,15 +1,24 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as the pipeline drops them.
 
-Words and shingles are those of operator 2 (A-Z in lower case, XXH64), without repeats. Texts of one set are one node.
+Operator 2's method, with its parts: a 64-bit SimHash of each text, BK-trees over the fingerprints in shards that meet in one
+task, links, components. Words and shingles are those of operator 2 (A-Z in lower case, XXH64), five wide and without
+repeats, as similarity is one of sets; texts of one set are one node. Every link is a pair that a tree found.
 
-Candidates: MinHash, 32 bands of 5 rows; nodes that agree in a band share a bucket. A pair at exactly 0.8 shares none with
-a probability of 3e-6, one at 0.9 with 1e-12. Every candidate pair is then checked on the exact sets, so no pair below
-0.8 links. Links are sought in two rounds: between each bucket's smallest node and the others, then between all of a
-bucket that the first round left in different components (a link inside of one would change nothing). Nothing is capped:
-a bucket has as many nodes as the data gives it.
+Radius: 28 bits. For sets of similarity 0.8 a bit differs with a probability of 0.1875 at most (4 shingles against 5; 0.153
+from 100 on), so a pair is farther apart with 1.1e-6 (1.2e-8 from 100 on); worked out for up to 259 common shingles.
 
-Texts are shuffled twice at most, to check candidates and to drop copies, and not at all while the candidates and the rows
-to drop are at most ``FEW``, as their numbers are then broadcast.
+Shards: equal bits, as operator 2 has them, can't hold pairs 28 bits apart. Here a shard is a MinHash bucket, 32 bands of 5
+rows: a pair at exactly 0.8 shares none with a probability of 3e-6, one at 0.9 with 1e-12. A bucket of over ``SHARD`` nodes
+is cut into parts, and each two parts are a shard, so that no tree is larger than two parts and every pair still meets.
+
+Every pair that the trees give is then checked on the exact sets, so no pair below 0.8 links. Links are sought in two
+rounds: first each node is paired with the nearest that it passes on its way into its tree, then trees give all pairs
+within the radius that the first round left in different components (a link inside of one would change nothing). Nothing is
+capped: a bucket has as many nodes as the data gives it, and one of many unlike texts costs a look at each pair.
+
+For the check the two texts of a pair meet by one
+shuffle; beyond that no text is shuffled while the pairs, and the rows to drop, are at most ``FEW``, as their numbers are
+then broadcast, and twice at most otherwise.
 
 Defined results: null and empty texts have the empty set and are one node; texts of fewer than five words are one
 shingle; repeated rows are in one component; an empty table gives no rows.
@@ -26,11 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, slices, written
-from .simhash import components, hashes
+from .simhash import BKTree, components, fingerprint, hashes, in_shards
 
-WIDTH, BANDS, ROWS, SEED = 5, 32, 5, 42
+WIDTH, RADIUS, BANDS, ROWS, SEED = 5, 28, 32, 5, 42
 #: Row numbers that are broadcast at once: some 20 MB.
 FEW = 1_000_000
+#: Nodes of a part of a bucket, and pairs with one node that one task checks.
+SHARD, CHECKS = 4096, 1000
 _RND = np.random.default_rng(SEED)
 #: A permutation of 32 bits for each row of each band, and what folds a band's rows to a bucket.
 _TIMES = _RND.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -52,70 +63,118 @@ def bands(s: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS).astype(np.uint64) * _FOLD).sum(1).view(np.int64)
 
 
-def shingled(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df, written, with row (unique), node (of the text's set), n (its shingles) and its bands."""
-    df = df.withColumn("row", F.monotonically_increasing_id())
-    at = df.columns.index(text_col)
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written, with row, unique."""
+    return written(df.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def shingled(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, node, n, fp, bands), written: node stands for the text's set, n is its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column(at).to_pylist()]
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
             node = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
-            found = [node, pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "node", "n", "bands"])
-
-    return written(df.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "node long, n long, bands array<long>"])), "shingled")
-
+            found = [node, pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["row", "node", "n", "fp", "bands"])
+
+    return written(rows.select("row", text_col).mapInArrow(run, "row long, node long, n long, fp long, bands array<long>"), "shingled")
+
+
+def _alike(m: int, n: int) -> bool:
+    """Whether sets of these sizes can share 0.8 of their union."""
+    return 5 * min(m, n) >= 4 * max(m, n)
+
+
+def nearest(node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each node of a shard with the nearest one within the radius that it passes on its way into the tree. A fingerprint is
+    in the tree once."""
+    tree, held = BKTree(), []
+    for a, value, size in zip(node.tolist(), (fp.view(np.uint64)).tolist(), n.tolist()):
+        way = tree.way(value)
+        if near := [(d, held[k][0]) for k, d in way if d <= RADIUS and _alike(held[k][1], size)]:
+            yield min(near)[1], a
+        if not way or way[-1][1]:
+            tree.add(value)
+            held.append((a, size))
+
+
+def apart(node: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All pairs (smaller, larger) of a shard within the radius whose components differ."""
+    tree, held, at = BKTree(), [], {}
+    if (root == root[0]).all():
+        return
+    for x in zip(node.tolist(), n.tolist(), root.tolist(), (fp.view(np.uint64)).tolist()):
+        for k in tree.near(x[3], RADIUS):
+            yield from ((min(y[0], x[0]), max(y[0], x[0])) for y in held[k] if y[2] != x[2] and _alike(y[1], x[1]))
+        if x[3] not in at:
+            at[x[3]] = tree.add(x[3])
+            held.append([])
+        held[at[x[3]]].append(x)
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets share 0.8 of their union: 9 times the common is 4 times both or more. The text of a comes
+    first, those of its b follow; one a with many b is several pieces."""
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / CHECKS)
+    pairs = pairs.withColumn("piece", F.pmod(F.col("b"), parts).cast("int"))
+    first = pairs.select("a", "piece").distinct().withColumns({"b": F.lit(None).cast("long"), "node": F.col("a")})
+    wanted = first.unionByName(pairs.withColumn("node", F.col("b"))).join(nodes.select("node", "row"), "node").select("row", "a", "piece", "b")
+    wanted = written(wanted, "wanted")
 
-def _sets(rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = None
         for batch in slices(batches):
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    return rows.select("node", text_col).mapInArrow(run, "node long, s array<long>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets share 0.8 of their union: 9 times the common is 4 times both or more."""
-    x = pairs.select("a", "b").join(sets.selectExpr("node AS a", "s AS sa"), "a").join(sets.selectExpr("node AS b", "s AS sb"), "b")
-    return x.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+            found = []
+            for a, b, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                s = shingles(text)
+                if b is None:
+                    one = s
+                elif 9 * len(np.intersect1d(one, s, True)) >= 4 * (len(one) + len(s)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    texts = rows.select("row", text_col).join(few(wanted), "row").select("a", "piece", "b", text_col)
+    texts = texts.repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+    found = written(texts.mapInArrow(run, "a long, b long"), "links")
+    discard(wanted)
+    return found
 
 
-def roots(rows: DataFrame, text_col: str = "text") -> DataFrame:
+def roots(rows: DataFrame, marks: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of the nodes of shingled rows that have near copies; root is the component's smallest node."""
-    first = rows.groupBy("node").agg(F.min(F.struct("row", "n", "bands")).alias("f"))
-    nodes = written(first.select("node", "f.row", "f.n", "f.bands"), "nodes")
+    first = marks.groupBy("node").agg(F.min(F.struct("row", "n", "fp", "bands")).alias("f"))
+    nodes = written(first.select("node", "f.*"), "nodes")
     inside = Window.partitionBy("bucket")
     buckets = nodes.select("node", F.explode("bands").alias("bucket")).withColumns({"least": F.min("node").over(inside), "nodes": F.count(F.lit(1)).over(inside)})
-    buckets = written(buckets.where("nodes > 1").drop("nodes"), "buckets")
-    candidates = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "row", "n"), "candidates")
-    sets = written(_sets(rows.select("row", "node", text_col).join(few(candidates.select("row")), "row", "left_semi"), text_col), "sets")
+    buckets = written(buckets.where("nodes > 1").withColumn("parts", F.ceil(F.col("nodes") / SHARD)).withColumn("part", F.expr("pmod(node, parts)")).drop("nodes"), "buckets")
+    candidates = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "row", "n", "fp"), "candidates")
     discard(nodes)
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) without those of too different sizes, which can't be similar."""
-        x = pairs.join(candidates.selectExpr("node AS a", "n AS na"), "a").join(candidates.selectExpr("node AS b", "n AS nb"), "b")
-        return x.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
-
-    stars = written(alike(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    links = written(_similar(stars, sets), "links")
-    parts = written(buckets.select("bucket", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "parts")
-    mixed = parts.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    part = parts.join(mixed, "bucket", "left_semi")
-    rest = part.selectExpr("bucket", "node AS a", "root AS ra").join(part.selectExpr("bucket", "node AS b", "root AS rb"), "bucket").where("a < b AND ra <> rb")
-    rest = written(alike(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")), "pairs")
-    more = written(_similar(rest, sets), "links")
+    # The bucket's smallest node is in each part, so that near copies in different parts meet in the first round.
+    part = F.expr("explode(CASE WHEN node = least THEN sequence(0L, parts - 1) ELSE array(part) END) AS shard")
+    shards = buckets.select("bucket", part, "node").join(few(candidates), "node").select("bucket", "shard", "node", "fp", "n")
+    firsts = written(in_shards(shards, 2, nearest).distinct(), "pairs")
+    links = _similar(firsts, candidates, rows, text_col)
+    rooted = written(candidates.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    mixed = buckets.select("bucket", "node").join(few(rooted.select("node", "root")), "node").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = written(mixed.where("lo <> hi").select("bucket"), "mixed")
+    both = F.expr("explode(transform(sequence(0L, parts - 1), x -> least(x, part) * parts + greatest(x, part))) AS shard")
+    shards = buckets.join(mixed, "bucket", "left_semi").select("bucket", both, "node").join(few(rooted), "node").select("bucket", "shard", "node", "fp", "n", "root")
+    rest = written(in_shards(shards, 2, apart).distinct().join(firsts, ["a", "b"], "left_anti"), "pairs")
+    more = _similar(rest, candidates, rows, text_col)
     found = components(links.unionByName(more))
-    discard(buckets, candidates, sets, stars, links, parts, rest, more)
+    discard(buckets, candidates, firsts, links, rooted, mixed, rest, more)
     return found
 
 
 def near_copies(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """df with a unique row number, written, and (row, root): rows of one root are near copies, directly or by steps."""
-    rows = shingled(df, text_col)
-    found = rows.select("row", "node").join(roots(rows, text_col), "node", "left")
-    return rows.select(*df.columns, "row"), found.select("row", F.coalesce("root", "node").alias("root"))
+    """df with a unique row number and, written, (row, root): rows of one root are near copies, directly or by steps."""
+    rows = numbered(df)
+    marks = shingled(rows, text_col)
+    found = marks.select("row", "node").join(roots(rows, marks, text_col), "node", "left")
+    found = written(found.select("row", F.coalesce("root", "node").alias("root")), "found")
+    discard(marks)
+    return rows, found
 
 
 def few(rows: DataFrame, most: int = FEW) -> DataFrame:

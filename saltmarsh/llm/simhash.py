@@ -21,7 +21,8 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .common import discard, slices, written
 
 WIDTH, RADIUS, HASH_SEED = 3, 2, 42
 BLOCKS = 8
+#: Pairs that a task hands on at once.
+PAIRS = 1 << 16
 #: For each choice of 2 of the 8 blocks, the mask of the other 48 bits, as a signed 64-bit integer.
 MASKS = [
     int(np.uint64(~(0xFF << 8 * i | 0xFF << 8 * j) & 0xFFFFFFFFFFFFFFFF).astype(np.int64))
@@ -53,9 +56,9 @@ def hashes(text: str, width: int = WIDTH) -> list[int]:
     return [h(join(s), HASH_SEED) for s in zip(*(words[i:] for i in range(width)))]
 
 
-def fingerprint(h: list[int]) -> int:
+def fingerprint(h: list[int] | np.ndarray) -> int:
     """Signed 64-bit fingerprint of the shingle hashes."""
-    if not h:
+    if not len(h):
         return 0
     octets = np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
@@ -91,16 +94,21 @@ class BKTree:
             todo += [child for edge, child in self.children[k].items() if d - radius <= edge <= d + radius]
         return found
 
+    def way(self, value: int) -> list[tuple[int, int]]:
+        """(index, distance) of the values that a new one passes on its way down from the root."""
+        found, k = [], 0 if self.values else None
+        while k is not None:
+            found.append((k, d := (self.values[k] ^ value).bit_count()))
+            k = self.children[k].get(d)
+        return found
+
     def add(self, value: int) -> int:
+        way, new = self.way(value), len(self.values)
         self.values.append(value)
         self.children.append({})
-        new, k = len(self.values) - 1, 0
-        while new:
-            d = (self.values[k] ^ value).bit_count()
-            if (after := self.children[k].get(d)) is None:
-                self.children[k][d] = new
-                break
-            k = after
+        if way:
+            k, d = way[-1]
+            self.children[k][d] = new
         return new
 
 
@@ -125,39 +133,45 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of nodes.fp that give the components; radius is 2 at most."""
-    if radius > 2:
-        raise ValueError("the shards keep pairs of 2 or fewer differing bits")
-    choice = F.explode(F.array(*[F.struct(F.lit(p).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for p, m in enumerate(MASKS)])).alias("s")
+def in_shards(rows: DataFrame, shard: int, pairs: Callable[..., Iterable[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``pairs`` finds in each shard of two rows or more. The first ``shard`` columns of rows name a shard, which
+    meets in one task; ``pairs`` takes the other columns, as arrays of its rows."""
+    names = rows.columns[:shard]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def out(p, rest, fp):
-            cut = np.flatnonzero((p[1:] != p[:-1]) | (rest[1:] != rest[:-1])) + 1
-            ends, found = np.append(cut, len(fp)), []
-            starts = np.insert(cut, 0, 0)
-            for k in np.flatnonzero(ends - starts > 1):
-                found += forest(fp[starts[k] : ends[k]].tolist(), radius)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:shard]], axis=0)) + 1
+            starts, ends = np.insert(cut, 0, 0), np.append(cut, len(columns[0]))
+            found = chain.from_iterable(pairs(*(c[starts[k] : ends[k]] for c in columns[shard:])) for k in np.flatnonzero(ends - starts > 1))
+            while some := list(islice(found, PAIRS)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            p, rest, fp = held = [np.concatenate(x) for x in zip(held, new)] if held else new
-            # The last shard may go on in the next batch; it is one of 2**16 rows at most.
-            same = (p == p[-1]) & (rest == rest[-1])
-            last = len(fp) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            # The last shard may go on in the next batch.
+            same = np.all([c == c[-1] for c in held[:shard]], axis=0)
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if last:
-                yield out(p[:last], rest[:last], fp[:last])
+                yield from out([x[:last] for x in held])
             held = [x[last:] for x in held]
         if held and len(held[0]):
-            yield out(*held)
+            yield from out(held)
 
-    rows = nodes.select("fp", choice).select("s.p", "s.rest", "fp")
-    return rows.repartition("p", "rest").sortWithinPartitions("p", "rest").mapInArrow(run, "a long, b long")
+    return rows.repartition(*names).sortWithinPartitions(*rows.columns).mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of nodes.fp that give the components; radius is 2 at most."""
+    if radius > 2:
+        raise ValueError("the shards keep pairs of 2 or fewer differing bits")
+    choice = F.explode(F.array(*[F.struct(F.lit(p).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for p, m in enumerate(MASKS)])).alias("s")
+    # A shard is one of 2**16 rows at most.
+    return in_shards(nodes.select("fp", choice).select("s.p", "s.rest", "fp"), 2, lambda fp: forest(fp.tolist(), radius))
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:

@@ -66,3 +66,53 @@ def test_bands_find_what_is_at_the_threshold():
             s = rnd.integers(0, 1 << 63, n, np.uint64)
             cut = n // 9  # the two share 7 parts of 9, a little below 0.8
             assert (shingles.bands(s[cut:]) == shingles.bands(s[: n - cut])).any()
+
+
+def some_sets(rnd, n):
+    """Sets of 40 to 60 numbers, most of them near copies of others, some twice."""
+    sets = [rnd.integers(0, 1 << 63, 50, np.uint64)]
+    while len(sets) < n:
+        s = sets[rnd.integers(len(sets))].copy()
+        at = rnd.choice(len(s), rnd.integers(0, 12), False)
+        s[at] = rnd.integers(0, 1 << 63, len(at), np.uint64)
+        sets.append(s[: max(40, len(s) - int(rnd.integers(0, 3)))])
+    return sets
+
+
+def test_trees_give_all_pairs_within_the_radius():
+    rnd = np.random.default_rng(6)
+    sets = some_sets(rnd, 150)
+    fp = np.array([shingles.fingerprint(s) for s in sets], np.int64)
+    n, node, root = np.array([len(s) for s in sets]), np.arange(150), rnd.integers(0, 4, 150)
+    bits = lambda i, j: ((int(fp[i]) ^ int(fp[j])) & (1 << 64) - 1).bit_count()
+    can = {(i, j) for j in range(150) for i in range(j) if bits(i, j) <= shingles.RADIUS and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])}
+    found = list(shingles.apart(node, fp, n, root))
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i, j in can if root[i] != root[j]}
+    assert 0 < len(found) < len(can) < 150 * 149 / 2
+    firsts = list(shingles.nearest(node, fp, n))
+    assert set(firsts) <= can and len({j for _, j in firsts}) == len(firsts) > 50
+
+
+def test_the_radius_holds_what_is_at_the_threshold():
+    rnd = np.random.default_rng(8)
+    for n in (5, 100, 9_000):
+        for _ in range(100):
+            s = rnd.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rnd.integers(0, 2, n, np.uint64)
+            cut = n // 5  # the two share 0.8 of their union
+            a, b = (shingles.fingerprint(x) & (1 << 64) - 1 for x in (s[cut:], s))
+            assert (a ^ b).bit_count() <= shingles.RADIUS
+
+
+def test_parts_of_a_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SHARD", 3)
+    monkeypatch.setattr(shingles, "CHECKS", 2)
+    words = [f"w{k}" for k in range(300)]
+    # A chain: each differs from the one before in one place, so the first and the last are far apart.
+    texts = []
+    for k in range(30):
+        words[10 * k] = f"new{k}"
+        texts.append(" ".join(words))
+    assert similarity(texts[0], texts[1]) >= 0.8 > similarity(texts[0], texts[-1])
+    rows, found = shingles.near_copies(spark.createDataFrame(list(enumerate([*texts, "something else altogether here now"])), "k int, text string"))
+    root = {r.k: r.root for r in rows.join(found, "row").collect()}
+    assert len({root[k] for k in range(30)}) == 1 and root[30] != root[0]
