@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import bpe, mixing, secrets, shingles, toxicity
-from saltmarsh.llm.common import slices, written
+from saltmarsh.llm.common import discard, slices, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ranked = written(rows.select("row", order.alias("order")).join(found, "row"), "ranked")
     kept = ranked.groupBy("root").agg(F.min("order").alias("least"), F.count(F.lit(1)).alias("n"))
     gone = written(ranked.join(kept.where("n > 1"), "root").where(F.col("order") != F.col("least")).select("row"), "gone")
+    discard(found, ranked)
     return rows.join(shingles.few(gone), "row", "left_anti").select(COLUMNS)
 
 

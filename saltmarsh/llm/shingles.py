@@ -16,9 +16,9 @@ rounds: first each node is paired with the nearest that it passes on its way int
 within the radius that the first round left in different components (a link inside of one would change nothing). Nothing is
 capped: a bucket has as many nodes as the data gives it, and one of many unlike texts costs a look at each pair.
 
-For the check the two texts of a pair meet by one
-shuffle; beyond that no text is shuffled while the pairs, and the rows to drop, are at most ``FEW``, as their numbers are
-then broadcast, and twice at most otherwise.
+Texts aren't copied where the rows come straight from Parquet files, each read once. While the pairs, and the rows to drop, are
+at most ``FEW`` their numbers are broadcast and only the texts of pairs are shuffled, to meet for the check; beyond that all
+texts are shuffled, up to three times (two rounds of checks, the drop).
 
 Defined results: null and empty texts have the empty set and are one node; texts of fewer than five words are one
 shingle; repeated rows are in one component; an empty table gives no rows.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +65,31 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df, written, with row, unique."""
-    return written(df.withColumn("row", F.monotonically_increasing_id()), "rows")
+    """df with row, unique: a row's file and its place there, which every later read finds again. Rows that don't come straight
+    from Parquet files, each read once, are written first."""
+
+    def straight(plan) -> bool:
+        while plan.nodeName() in ("Project", "SubqueryAlias"):
+            plan = plan.children().head()
+        return plan.nodeName() == "LogicalRelation"
+
+    def placed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        # One row a file.
+        files = found.groupBy("__file").agg(F.count_if(F.col("__at") == 0).alias("times"))
+        return found, written(files.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__file")).cast("long")), "files")
+
+    plan = df._jdf.queryExecution().analyzed()
+    try:
+        if not (straight(plan) and plan.deterministic()):
+            raise AnalysisException("not a table of files")
+        found, files = placed(df)
+        if not files.where("times > 1").isEmpty():
+            raise AnalysisException("a file is read more than once")
+    except AnalysisException:
+        found, files = placed(written(df, "rows"))
+    row = F.shiftleft("__k", 36).bitwiseOR(F.col("__at"))
+    return found.join(F.broadcast(files.drop("times")), "__file").withColumn("row", row).select(*df.columns, "row")
 
 
 def shingled(rows: DataFrame, text_col: str = "text") -> DataFrame:

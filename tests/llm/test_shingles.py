@@ -116,3 +116,18 @@ def test_parts_of_a_bucket_lose_no_link(spark, monkeypatch):
     rows, found = shingles.near_copies(spark.createDataFrame(list(enumerate([*texts, "something else altogether here now"])), "k int, text string"))
     root = {r.k: r.root for r in rows.join(found, "row").collect()}
     assert len({root[k] for k in range(30)}) == 1 and root[30] != root[0]
+
+
+def test_texts_of_files_are_not_copied(spark, real):
+    rows, found = shingles.near_copies(real)
+    assert set(real.inputFiles()) <= set(rows.inputFiles())
+    assert rows.count() == real.count() == rows.select("row").distinct().count() == found.count()
+
+
+def test_a_file_read_twice_has_rows_of_its_own(spark, real, none):
+    path = real.inputFiles()[0]
+    twice = spark.read.parquet(path, path)
+    rows = shingles.numbered(twice)
+    assert rows.select("row").distinct().count() == 2 * real.count()
+    kept = [corpus_pipeline.drop_near_duplicates(spark, d.select(none.columns), "").select("doc_id").collect() for d in (real, twice)]
+    assert sorted(kept[0]) == sorted(kept[1])
