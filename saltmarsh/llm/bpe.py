@@ -4,10 +4,10 @@ The lexicon: words (parts between single spaces) are counted over all documents,
 encoded once by exact merging and compiled into a minimal acyclic transducer (``lexicon.py``). It is written to the
 shared folder and handed to executors as a Spark file; workers memory-map it. It decides speed, never results.
 
-Encoding: added special tokens are cut out of the text first, as the tokenizer's file says. Between a character that is
-no white space and a single space before another such character every pre-token ends, so the parts of a split at
-spaces are independent; a part is looked up in the transducer, and merged exactly if it isn't there. Stretches with other
-white space go through the whole pre-token pattern. Decoding maps ids to their bytes, in order, read as UTF-8.
+Encoding: many texts are cut at once, on the classes of their bytes, where a pre-token ends whatever stands around: at added
+special tokens, before white space, around its last character, and between letters, numerals and other characters. So parts are
+independent; each different part of the texts at hand is looked up in the transducer, and merged exactly if it isn't there.
+A part of more than one pre-token goes through the pre-token pattern. Decoding maps ids to their bytes, in order, read as UTF-8.
 
 Defined results: null counts as empty and has no ids; any text round-trips; texts are encoded whole at any length; of pairs
 that rank alike the leftmost merges first; repeated rows each give a row; an empty table gives none; columns other than id
@@ -26,19 +26,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, sized_slices, slices, written
+from .common import scratch, sized_slices, written
 from .lexicon import Lexicon, build
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Longest word that is merged among others and kept; how many are kept, or up to twice as many.
-SHORT, KNOWN = 48, 40_000
-#: A comma or full stop after anything but a letter or numeral, or at the start.
-JOINED = re.compile(r"(?:[\W_]|\A)[,.]")
+#: Longest word that is merged among others.
+SHORT = 48
+#: Bytes of text that are encoded at once, and whose words are counted at once.
+ENCODED_BYTES, COUNTED_BYTES = 1_000_000, 16 << 20
 LEXICON_WORDS = 131_072
 ID_BITS = 32
 ID_MASK, NEVER = (1 << ID_BITS) - 1, 1 << 62
@@ -63,6 +64,38 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Classes of bytes: what isn't looked at (no white space), letters, numerals, others, the apostrophe of contractions, space,
+#: other white space of one byte, white space of several bytes.
+UNKNOWN, LETTER, NUMERAL, OTHER, APOSTROPHE, BLANK, WHITE, WIDE = range(8)
+
+
+@lru_cache(1)
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each character below U+10000, as the pattern has it, and of each byte of a text; those of longer characters
+    are left unknown."""
+    chars = "".join("!" if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x10000))
+    found = np.full(len(chars), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMERAL, r"\p{N}+"), (WIDE, r"\s+")):
+        for m in regex.finditer(pattern, chars):
+            found[m.start() : m.end()] = kind
+    found[:128][found[:128] == WIDE] = WHITE
+    found[ord(" ")], found[ord("'")] = BLANK, APOSTROPHE
+    return found, np.concatenate((found[:128], np.full(128, UNKNOWN, np.uint8)))
+
+
+@lru_cache(1)
+def borders() -> np.ndarray:
+    """Whether a part begins between bytes of two classes, at 8 times the first and the second."""
+    found = np.zeros((8, 8), bool)
+    found[:BLANK, BLANK:] = True
+    # What follows white space other than a space, as it never belongs to the next pre-token.
+    found[WHITE, :BLANK] = True
+    for a in (LETTER, NUMERAL, OTHER):
+        for b in (LETTER, NUMERAL, OTHER, APOSTROPHE):
+            found[a, b] = a != b and (a, b) != (OTHER, APOSTROPHE)
+    return found.ravel()
+
+
 class Codec:
     """Exact encoder and decoder of a tokenizer file; with a lexicon it looks words up first."""
 
@@ -86,17 +119,20 @@ class Codec:
                 raise ValueError("only plain added tokens")
             self.special[added["content"]] = added["id"]
             self.bytes[added["id"]] = added["content"].encode()
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.cut = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.lexicon = lexicon
+        #: by id: the id with a comma after it, and its bytes
+        self.id_lines = pa.array([b"%d," % i for i in range(max(self.bytes) + 1)], pa.large_binary())
+        self.id_bytes = pa.array([self.bytes.get(i, b"") for i in range(len(self.id_lines))], pa.large_binary())
         # The same merges as sorted arrays, for many words at once.
         pairs = np.array(list(self.merges), np.int64).reshape(-1, 2)
         order = np.argsort(keys := pairs[:, 0] << ID_BITS | pairs[:, 1])
         self.pair_keys, self.pair_merges = keys[order], np.array(list(self.merges.values()), np.int64)[order]
         self.byte_array = np.array(self.byte_ids, np.int64)
-        #: part -> (its ids joined by commas, its bytes): those of the lexicon that were met, and the last others met
-        self.frequent: dict[str, tuple[str, bytes]] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.byte_merges = np.array([self.merges.get((a, b), NEVER) for a in self.byte_ids for b in self.byte_ids], np.int64)
+        #: special tokens and the parts of the lexicon that were met; their ids, each with a comma after it; their bytes
+        self.frequent = pa.array(list(self.special), pa.string())
+        self.lines, self.raw = (t.take(pa.array(self.special.values(), pa.int64(), size=len(self.special))) for t in (self.id_lines, self.id_bytes))
 
     def merge(self, token: str) -> list[int]:
         """The ids of one pre-token: the lowest-rank pair merges first, leftmost of equals."""
@@ -132,13 +168,18 @@ class Codec:
                 heapq.heappush(heap, (m, h, ids[h], new))
         return [i for i in ids if i is not None]
 
-    def merge_many(self, words: list[str]) -> list[list[int]]:
-        """merge() of many short pre-tokens: each round merges the best pair of every word."""
-        data = [w.encode() for w in words]
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        ids = self.byte_array[np.frombuffer(b"".join(data), np.uint8)]
-        word = np.repeat(np.arange(len(words)), size)
-        out: list[list[int]] = [[] for _ in words]
+    def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many pre-tokens: all ids in order, and how many each has. Each round merges the best pair of every short one."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                long = self.merge(w)
+                out.append((np.full(len(long), k), np.array(long, np.int64)))
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        data = [words[k].encode() for k in short]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        ids = self.byte_array[raw]
+        word = np.repeat(np.array(short, np.int64), np.fromiter(map(len, data), np.int64, len(data)))
 
         def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             key = a << ID_BITS | b
@@ -147,7 +188,7 @@ class Codec:
 
         rank = np.full(len(ids), NEVER)  # of each symbol with the one after it
         inner = np.flatnonzero(word[1:] == word[:-1])
-        rank[inner] = best(ids[inner], ids[inner + 1])
+        rank[inner] = self.byte_merges[raw[inner].astype(np.int64) << 8 | raw[inner + 1]]
         while len(ids):
             starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             counts = np.diff(np.append(starts, len(ids)))
@@ -155,11 +196,7 @@ class Codec:
             done = least == NEVER
             if done.any():
                 gone = np.repeat(done, counts)
-                flat = ids[gone].tolist()
-                at = 0
-                for w, n in zip(word[starts[done]].tolist(), counts[done].tolist()):
-                    out[w] = flat[at : at + n]
-                    at += n
+                out.append((word[gone], ids[gone]))
                 ids, word, rank = ids[~gone], word[~gone], rank[~gone]
                 least, counts = least[~done], counts[~done]
                 if not len(ids):
@@ -177,72 +214,101 @@ class Codec:
             rank[right] = best(ids[right], ids[right + 1])
             left = at[(at > 0) & (word[at - 1] == word[at])]
             rank[left - 1] = best(ids[left - 1], ids[left])
-        return out
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word, ids = (np.concatenate(x) for x in zip(*out))
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def exact(self, text: str) -> list[int]:
         """The ids of a text without special tokens, through the pattern."""
         return [i for token in PATTERN.findall(text) for i in self.merge(token)]
 
-    def _ids(self, part: str) -> list[int]:
-        # A special token's string is always cut out, so no other part is equal to it.
-        return [self.special[part]] if part in self.special else self.exact(part)
-
-    def _entry(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
-
-    def entries(self, parts: set[str]) -> dict[str, tuple[str, bytes]]:
-        """(ids joined by commas, bytes) of each part: from the last ones met, from the transducer, or by merging."""
-        frequent, known, older = self.frequent, self.known, self.older
-        found = {p: e for p in parts if (e := frequent.get(p) or known.get(p) or older.get(p)) is not None}
-        new = [p for p in parts if p not in found]
-        if self.lexicon is not None and len(frequent) < self.lexicon.n_words:
-            numbers = self.lexicon.numbers([p.encode() for p in new]).tolist()
-            frequent |= (met := {p: self._entry(self.lexicon.ids_of(n)) for p, n in zip(new, numbers) if n >= 0})
-            found |= met
-            new = [p for p, n in zip(new, numbers) if n < 0]
+    def _entries(self, ids: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        """The lines and the bytes of parts, of which each has so many of the ids."""
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        found = (taken(texts, ids) for texts in (self.id_lines, self.id_bytes))
+        return [pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at[ends]), data]) for data, at in found]
+
+    def _merged(self, parts: list[str]) -> list[pa.Array]:
         # A word of letters, with or without a space before it, is one pre-token.
-        simple = [p for p in new if len(p) <= SHORT and (p[1:] if p[0] == " " else p).isalpha()]
-        merged = dict(zip(simple, map(self._entry, self.merge_many(simple))))
-        merged |= {p: self._entry(self._ids(p)) for p in new if p not in merged}
-        if len(known) > KNOWN:
-            self.older, self.known = known, {}
-        self.known |= {p: e for p, e in merged.items() if len(p) <= SHORT}
-        return found | merged
-
-    def split(self, text: str) -> list[str]:
-        """Parts of which each can be encoded by itself; joined they are the text. Special tokens are parts."""
-        if not text:
-            return []
-        if self.cut is not None and any(s in text for s in self.special):
-            return [p for s in self.cut.split(text) for p in ([s] if s in self.special else self.split(s))]
-        if text.replace("\n", " ") == " ".join(text.split()) and "\x00" not in text:
-            # No white space but single spaces and line feeds between words: each starts a part. So does a comma or full
-            # stop, unless it may belong to a run of such characters or to the space before it.
-            text = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
-            if JOINED.search(text) is None:
-                text = text.replace(",", "\x00,").replace(".", "\x00.")
-            return text.split("\x00")
-        # A piece that has white space at an end, or is empty, takes its neighbours along.
-        out: list[str] = []
-        glue = False
-        for k, piece in enumerate(text.split(" ")):
-            part = " " + piece if k else piece
-            if (glue or not piece or piece[0].isspace()) and out:
-                out[-1] += part
-            else:
-                out.append(part)
-            glue = not piece or piece[-1].isspace()
-        return [p for p in out if p]
+        tokens = [[p] if (p[1:] if p[0] == " " else p).isalpha() else PATTERN.findall(p) for p in parts]
+        ids, sizes = self.merge_many([t for own in tokens for t in own])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, tokens)])]
+        return self._entries(ids, np.diff(ends))
+
+    def entries(self, parts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Of different parts, by numbers: lines (ids with a comma after each) and bytes; from those met, the transducer, or by merging."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.frequent), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if self.lexicon is not None and len(new) and len(self.frequent) - len(self.special) < self.lexicon.n_words:
+            numbers = self.lexicon.numbers(parts.take(pa.array(new)))
+            met, new = new[numbers >= 0], new[numbers < 0]
+            at[met] = len(self.frequent) + np.arange(len(met))
+            lines, raw = self._entries(*self.lexicon.ids_of_all(numbers[numbers >= 0]))
+            self.frequent = pa.concat_arrays([self.frequent, parts.take(pa.array(met))])
+            self.lines, self.raw = pa.concat_arrays([self.lines, lines]), pa.concat_arrays([self.raw, raw])
+        at[new] = len(self.frequent) + np.arange(len(new))
+        lines, raw = self._merged(parts.take(pa.array(new)).to_pylist())
+        return at, pa.concat_arrays([self.lines, lines]), pa.concat_arrays([self.raw, raw])
+
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of which each can be encoded by itself; joined they are the texts. Special tokens are parts. Also the number of
+        parts before each text and after the last."""
+        texts = texts.cast(pa.string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+        if ends[0] == ends[-1]:
+            return pa.array([], pa.string()), np.zeros(len(ends), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0])
+        ends = ends - ends[0]
+        of_char, of_byte = classes()
+        kinds = of_byte[data]
+        if len(wide := np.flatnonzero(data >= 0xC0)):
+            first = data[wide]
+            two, three = wide[first < 0xE0], wide[(first >= 0xE0) & (first < 0xF0)]
+            kinds[two] = kinds[two + 1] = of_char[(data[two] & 31).astype(np.int32) << 6 | data[two + 1] & 63]
+            kinds[three] = kinds[three + 1] = kinds[three + 2] = of_char[(data[three] & 15).astype(np.int32) << 12 | (data[three + 1] & 63).astype(np.int32) << 6 | data[three + 2] & 63]
+        stops = np.zeros(len(data) + 1, bool)  # where the library splits before it looks for pre-tokens
+        stops[ends] = True
+        spans = []
+        if self.cut is not None and self.cut.search(data):
+            spans = [m.span() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()) for m in self.cut.finditer(data, a, b)]
+            for a, b in spans:
+                stops[a] = stops[b] = True
+        begins = stops[:-1].copy()
+        begins[1:] |= borders()[kinds[:-1] << 3 | kinds[1:]]
+        # Of several white characters before a word the last is apart from those before it.
+        white = kinds >= BLANK
+        last = np.flatnonzero(white[1:-1] & white[:-2]) + 1
+        begins[last[~white[last + 1] & ~stops[last + 1] & (kinds[last] != WIDE)]] = True
+        for a, b in spans:
+            begins[a + 1 : b] = False
+        at = np.flatnonzero(begins)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(at, ends)
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Each text's ids joined by commas, and the bytes that these ids stand for."""
+        parts, first = self.parts(texts)
+        parts = parts.dictionary_encode()
+        at, *entries = self.entries(parts.dictionary)
+        numbers = at[parts.indices.to_numpy()]
+        (lines, line_at), (raw, raw_at) = (taken(x, numbers) for x in entries)
+        for a, b, c, d in zip(*(x[first[k : len(first) - 1 + k]].tolist() for x in (line_at, raw_at) for k in (0, 1))):
+            yield bytes(lines[a : max(a, b - 1)]), bytes(raw[c:d])
 
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        lines = self.entries(set(parts))
-        return [int(i) for p in parts for i in lines[p][0].split(",")]
+        return [int(i) for line, _ in self.encoded(pa.array([text], pa.string())) if line for i in line.split(b",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def taken(texts: pa.Array, numbers: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The texts of these numbers one after another, and where each begins, with the end of the last."""
+    found = texts.take(pa.array(numbers))
+    return found.buffers()[2] or pa.py_buffer(b""), np.frombuffer(found.buffers()[1], np.int64, len(found) + 1) if len(found) else np.zeros(1, np.int64)
+
+
 @lru_cache(1)
 def codec(path: str, lexicon: str | None) -> Codec:
     """A worker keeps the last one only: its memos are large. The lexicon is a Spark file: a new executor fetches it again."""
@@ -256,22 +322,9 @@ def frequent_words(df: DataFrame, words: int = LEXICON_WORDS, text_col: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        counts: Counter = Counter()
-
-        def out():
-            found = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string(), size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))], ["word", "n"])
-            counts.clear()
-            return found
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(text.split(" "))
-            if len(counts) > 150_000:
-                yield out()
-        yield out()
+        for batch in sized_slices(batches, 0, COUNTED_BYTES):
+            found = pc.split_pattern(batch.column(0), " ").flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
     counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     counts = counted.where("length(word) between 1 and 48").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
@@ -306,11 +359,15 @@ def fit(df: DataFrame, tokenizer: str | None = None, words: int = LEXICON_WORDS,
     """Builds and publishes the lexicon of df's frequent words; returns its Spark file's name."""
     exact = Codec(tokenizer or default_tokenizer())
     frequent = frequent_words(df, words, text_col)
-    # As a text's first part and after a space; a text's parts with other white space in them are words too.
-    words = {q for w in frequent for q in exact.split(w) if q not in exact.special}
+    # A word's first part as a text's first and after a space, the other parts as they are.
+    found, first = exact.parts(pa.array(frequent, pa.string()))
+    found = found.to_pylist()
+    heads = set(map(found.__getitem__, first[:-1].tolist())) - exact.special.keys()
     # A word in lower case seldom begins a text or line; without its space it needs no entry.
-    words = {w for w in words if exact.split(w) == [w]}
-    parts = sorted({" " + w for w in words} | {w for w in words if not w[0].islower()})
+    parts = {" " + w for w in heads} | {w for w in heads if not w[0].islower()}
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        parts.update(found[a + 1 : b])
+    parts = sorted(parts - exact.special.keys())
     return publish(df.sparkSession, build((p.encode(), exact.exact(p)) for p in parts), "lexicon")
 
 
@@ -320,19 +377,14 @@ def encode(df: DataFrame, tokenizer: str | None = None, lexicon: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, lexicon)
-        for batch in sized_slices(batches, 1):
-            parts = [own.split(t or "") for t in batch.column(1).to_pylist()]
-            entries = own.entries(set().union(*parts))
-            lines, raw = {p: e[0] for p, e in entries.items()}, {p: e[1] for p, e in entries.items()}
+        for batch in sized_slices(batches, 1, ENCODED_BYTES):
             n, digests, decoded, ids = [], [], [], []
-            for own_parts in parts:
-                line = ",".join(map(lines.__getitem__, own_parts))
-                back = b"".join(map(raw.__getitem__, own_parts)).decode("utf-8", "replace")
-                n.append(line.count(",") + 1 if line else 0)
-                digests.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+            for line, raw in own.encoded(batch.column(1)):
+                n.append(line.count(b",") + 1 if line else 0)
+                digests.append(hashlib.sha256(line).hexdigest())
+                decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, line.split(","))) if line else [])
+                    ids.append(np.fromstring(line, np.int32, sep=",") if line else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -15,6 +15,7 @@ import struct
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"SMLX0001"
 
@@ -91,14 +92,15 @@ class Lexicon:
         self.targets, self.outputs = take(np.int32, n_arcs), take(np.int32, n_arcs)
         self.ids, self.finals = take(np.int32, int(self.offsets[-1])), take(np.uint8, n_states)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """Each word's number, -1 if it has none; all words walk the automaton together, a byte at a time."""
         found = np.full(len(words), -1, np.int64)
         if not len(self.keys) or not words:
             return found
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(words), np.uint8)
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words.cast(pa.binary())
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+        start, size = ends[:-1], np.diff(ends)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
         live = np.flatnonzero(size)
         state, number = np.full(len(live), self.root, np.int64), np.zeros(len(live), np.int64)
         step = 0
@@ -118,3 +120,9 @@ class Lexicon:
 
     def ids_of(self, number: int) -> list[int]:
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
+
+    def ids_of_all(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words one after another, and how many each has."""
+        begin, sizes = self.offsets[numbers], self.offsets[numbers + 1] - self.offsets[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(begin - before, sizes) + np.arange(sizes.sum())].astype(np.int64), sizes

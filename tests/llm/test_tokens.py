@@ -138,3 +138,39 @@ def test_registered_queries_of_odd_rows(odd, folder):
         back = library.decode(ids, skip_special_tokens=False)
         digests.append((k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert sorted(map(tuple, bpe.op5_bpe(spark, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str) == sorted(digests, key=str)
+
+
+def test_words_with_marks_are_cut(library, monkeypatch):
+    """Words such as ab!cd, or before a mark, are cut into parts that recur; only those go through the pattern."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(2, 9)))
+    text = " ".join(word() + rnd.choice("!%&*$|#,.") + rnd.choice(["", word()]) for _ in range(2000))
+    seen = []
+
+    class Pattern:
+        def findall(self, part, own=bpe.PATTERN):
+            seen.append(part)
+            return own.findall(part)
+
+    monkeypatch.setattr(bpe, "PATTERN", Pattern())
+    assert bpe.Codec(bpe.default_tokenizer()).encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) <= 9
+
+
+def test_columns_of_random_texts(library):
+    """Many texts at once, with nulls, of a slice that begins within its buffers: no cut depends on the text before or after."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    alphabet = [*ALPHABET, ",", ", ", "'", "'re", "'x", " '", "!'", "-", "\n ", " \n", "\u3000", "\u2028", "\u1680", "\x0b", "\x0c", "。", "é,", "é'", "<|endoftext|>", "\n<|endoftext|> ", "\uffff", "\U0010ffff", "७"]
+    codec = bpe.Codec(bpe.default_tokenizer())
+    for _ in range(150):
+        texts = [None if rnd.random() < 0.05 else "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(60)]
+        column = pa.array(["before ", *texts, " after"], pa.string()).slice(1, len(texts))
+        parts, first = codec.parts(column)
+        parts = parts.to_pylist()
+        for k, (text, (line, raw)) in enumerate(zip(texts, codec.encoded(column), strict=True)):
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            assert line.decode() == ",".join(map(str, ids)), repr(text)
+            assert raw.decode() == library.decode(ids, skip_special_tokens=False)
+            assert "".join(parts[first[k] : first[k + 1]]) == (text or "")
