@@ -66,8 +66,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def recency(age_seconds: Column, half_life: float = 3600.0) -> Column:
-    return clamp(F.exp(-math.log(2) * F.greatest(age_seconds, F.lit(0)) / max(half_life, 1.0)))
+def recency(age_seconds: Column, half_life: float = 3600.0, clamped: bool = True) -> Column:
+    """1 for a time that is still to come; unclamped, such a time counts beyond 1."""
+    age = F.greatest(age_seconds, F.lit(0)) if clamped else age_seconds
+    decay = F.exp(-math.log(2) * age / max(half_life, 1.0))
+    return clamp(decay) if clamped else decay
 
 
 def workload(active: Column, most: int) -> Column:

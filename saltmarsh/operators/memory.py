@@ -38,11 +38,12 @@ def with_tag(episodes: DataFrame, tag: str) -> DataFrame:
     return episodes.where(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
 
 
-def recall(episodes: DataFrame, queries: DataFrame, now: Column, k: int, weights: tuple = WEIGHTS, half_life: float = HALF_LIFE) -> DataFrame:
+def recall(episodes: DataFrame, queries: DataFrame, now: Column, k: int, weights: tuple = WEIGHTS, half_life: float = HALF_LIFE, clamped: bool = True) -> DataFrame:
     """queries (query_id, text, and embedding if there is one) -> the k best episodes of each, with all partial scores.
 
     Relevance is the cosine (0 at least) where both sides have a vector, else the word overlap. Queries are broadcast in turns;
-    episodes stream past them, their words worked out once for all queries of a turn.
+    episodes stream past them, their words worked out once for all queries of a turn. An episode later than now is as recent
+    as one of now; unclamped, it is more recent.
     """
     vector = F.col("q_embedding") if "embedding" in queries.columns else F.lit(None).cast("array<double>")
     q = queries.select("query_id", F.col("text").alias("q_text"), *([F.col("embedding").alias("q_embedding")] if "embedding" in queries.columns else []))
@@ -54,7 +55,7 @@ def recall(episodes: DataFrame, queries: DataFrame, now: Column, k: int, weights
     parted = episodes.withColumn("c_words", F.array_distinct(T.words(F.col("content")))).withColumn("c_low", F.array_distinct(F.transform("c_words", F.lower)))
     for t in range(turns):
         part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == t) if turns > 1 else q
-        x = parted.join(F.broadcast(part), F.lit(True)).withColumns({"relevance": relevance, "recency": V.recency(now - F.col("timestamp"), half_life)})
+        x = parted.join(F.broadcast(part), F.lit(True)).withColumns({"relevance": relevance, "recency": V.recency(now - F.col("timestamp"), half_life, clamped)})
         x = top_k(x.withColumn("score", F.col("relevance") * a + F.col("recency") * b + F.col("importance") * c), k, id_col="id")
         found = x if found is None else found.unionByName(x)
     return found.select("query_id", "rank", "id", "score", "relevance", "recency", "importance")

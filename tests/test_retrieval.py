@@ -19,6 +19,7 @@ from saltmarsh.operators import rerank as R
 from saltmarsh.operators.chunk import ChunkConfig, chunk, chunk_text
 from saltmarsh.operators.retrieve import HybridEngine, RagQuery
 from saltmarsh.operators.sparse import SparseIndex
+from saltmarsh.plans import retrieval_queries as Q
 
 
 def one(spark, **columns):
@@ -260,6 +261,21 @@ def test_memory(spark):
     assert M.newest(e, 1).count() == 2  # ten at least
 
 
+def test_memory_of_times_to_come(spark, tmp_path):
+    """Recency is 1 for an episode after the clock; the registered query goes on beyond 1, as its SQL does."""
+    e = spark.createDataFrame([("e1", 7200, "x", 0.0)], "id string, timestamp long, content string, importance double")
+    assert M.recall(e, queries(spark, (1, "a")), F.lit(3600), 1).first().recency == 1
+    assert M.recall(e, queries(spark, (1, "a")), F.lit(3600), 1, clamped=False).first().recency == pytest.approx(2)
+    rows = [(100, 1, "user", "the words"), (5000, 2, "user", "no match")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(Q.SQL["memory_recall"]).fetchall()
+    assert sorted(map(tuple, Q.memory_recall(spark, str(tmp_path)).collect())) == sorted(want) and max(r[5] for r in want) > 40
+
+
 def test_the_last_window_stays_where_none_was_kept(spark):
     """20 characters in windows of 10, 12 bytes at least: only the window that ends the text is left; repeated rows are apart."""
     texts = [(1, "abcdefghij" * 2), (1, "abcdefghij" * 2), (2, "é" * 25), (3, "  "), (4, "x")]
