@@ -73,8 +73,19 @@ def fixed(x: Column, digits: int = 3) -> Column:
     return F.format_string(f"%.{digits}f", x)
 
 
+#: Jackson as strict as RFC 8259.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxNestingDepth": "100000", "maxStringLen": "2147483647", "maxNumLen": "2147483647"}
+
+
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """One whole JSON text (RFC 8259); repeated keys are allowed, half a surrogate pair isn't. Spark's parsers read one value and
+    leave what follows it unread, so the text is read as the first of two elements: it is whole if the second, its own digest, is
+    found right behind it."""
+    mark = F.md5(text.cast("binary"))
+    read = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", _STRICT)
+    high, low = r"\\u[dD][89aAbB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    half = text.rlike(rf"(?<!\\)(?:\\\\)*(?:{high}(?!{low})|(?<!{high}){low})")
+    return F.coalesce((F.size(read) == 2) & (F.get(read, F.lit(1)) == mark) & ~half, F.lit(False))
 
 
 def prompt(instruction: str, context: Column, query: Column, prefix: str = "User Query:") -> Column:

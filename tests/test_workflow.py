@@ -77,6 +77,14 @@ def test_aggregate_and_reflectors(spark):
     assert [(x.dimension, x.score) for x in r] == [("completeness", 0.4), ("production_ready", 0.2), ("completeness", 0.5), ("safety", 0.2), ("correctness", 0.5), ("format_compliance", 0.0)]
 
 
+def test_format_needs_one_whole_json_text(spark):
+    good = ['{"a":1,"a":[null]}', " 1 ", '"\\\\ud83d"', '"\\ud83d\\ude00"', "-0.5e+10"]
+    bad = ["8294846167456848 and words", "1,2", '1,"x"] y', "[1,]", "{'a':1}", "NaN", "01", '"\\ud83d"', "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "k int, t string")
+    got = rows.select("k", R.heuristic(F.col("t"), 1, (), (), True)[2]["score"].alias("score")).orderBy("k").collect()
+    assert [r.score for r in got] == [1.0] * len(good) + [0.0] * len(bad)
+
+
 def test_metrics(spark):
     rows = [("task_submitted", None, None, None), ("task_submitted", None, None, None), ("task_completed", None, None, 50), ("task_failed", None, None, 150), ("tool_called", "kv_put", True, 1), ("tool_called", "kv_put", True, 1), ("tool_called", "kv_get", False, 1)]
     e = spark.createDataFrame([(k, n, s, d, None, None, None) for k, n, s, d in rows], "kind string, name string, success boolean, duration_ms long, confidence double, iterations int, verdict string")
