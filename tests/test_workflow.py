@@ -152,3 +152,21 @@ def test_driver_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 60
     assert __spark_entry__.entry(spark).columns == ["query_id", "doc_id", "score", "rank"]
+
+
+def test_tiers_send_the_driver_no_large_side(spark, monkeypatch):
+    """With nothing small enough to broadcast, all joins of a round go by shuffle, whatever Spark's own threshold says."""
+    monkeypatch.setattr(G, "BROADCAST_ROWS", -1)
+    seen = []
+    monkeypatch.setattr(G, "written", lambda df, name, own=G.written: (seen.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()), own(df, name))[1])
+    t = spark.range(1, 64).select(F.col("id").alias("task"))
+    e = t.where("task > 1").select("task", F.expr("task div 2").alias("depends_on"))
+    assert {r.task: r.tier for r in G.tiers(t, e).collect()} == {k: k.bit_length() - 1 for k in range(1, 64)}
+    assert seen and not any("Broadcast" in plan for plan in seen)
+    assert "Broadcast" not in G.tiers_sql(t, e)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_recursion_of_more_than_a_million_rows(spark):
+    t = spark.range(1_100_000).select(F.col("id").alias("task"))
+    e = t.where("task > 9").select("task", (F.col("task") % 10).alias("depends_on"))
+    assert {r.tier: r["count"] for r in G.tiers_sql(t, e).groupBy("tier").count().collect()} == {0: 10, 1: 1_099_990}
