@@ -252,6 +252,41 @@ def test_cache_lookup_searches_every_live_entry(spark, monkeypatch):
     assert sorted((h.query_id, h.entry_id) for h in hits) == [(k, k) for k in range(30)]
 
 
+def test_cache_lookup_in_tiles_is_exact(spark, monkeypatch):
+    """Against plain expressions, with equal entries, other lengths, nulls and text ids; and no tile beyond its bound."""
+    monkeypatch.setattr(D, "TILE", 64)
+    rows = [(f"e{k:02d}", [float((k * 7 + j * 3) % 11 - 5) for j in range(4 + k % 2)] if k else None, [k], 0) for k in range(60)]
+    e = spark.createDataFrame([(*r[:1], r[1] if r[0] != "e05" else [None, 1.0, 2.0, 3.0, 0.5], *r[2:]) for r in rows], "entry_id string, embedding array<float>, results array<long>, created_at long")
+    q = spark.createDataFrame([(str(k), [float((k * 5 + j) % 7 - 3) for j in range(4 + k % 2)]) for k in range(40)], "query_id string, embedding array<double>")
+    pairs = q.crossJoin(e.select("entry_id", F.col("embedding").alias("e"))).where(F.size("embedding") == F.size("e"))
+    best = {}
+    for r in pairs.select("query_id", "entry_id", V.cosine(F.col("embedding"), F.col("e")).alias("s"), V.l2_norm(F.col("embedding")).alias("n")).collect():
+        if r.n > 0 and r.s >= 0.5:
+            best[r.query_id] = min(best.get(r.query_id, (2, "")), (-r.s, r.entry_id))
+    got = {r.query_id: (-r.similarity, r.entry_id) for r in C.lookup(e, q, F.lit(1), C.CacheConfig(threshold=0.5)).collect()}
+    assert got == best and len(got) > 20
+
+
+def test_dense_holds_tiles_and_ties_equal_vectors(spark, monkeypatch):
+    """A task's products stay within TILE, and equal vectors tie wherever they lie: those at distance 0 score 1."""
+    import numpy as np
+
+    monkeypatch.setattr(D, "TILE", 4096)
+    rng, most = np.random.default_rng(1), []
+    x = np.tile(rng.normal(size=(100, 64)), (30, 1))
+    own = D.Best._tile
+    monkeypatch.setattr(D.Best, "_tile", lambda self, at, ids, part, x2: (most.append(len(self.q[at]) * len(part)), own(self, at, ids, part, x2)))
+    for metric in ("cosine", "dot", "euclidean"):
+        best = D.Best(metric, x[:50], 40)
+        for at in range(0, len(x), 700):
+            best.add(np.arange(at, min(at + 700, len(x))), x[at : at + 700])
+        scores = np.round([D.exact(metric, np.repeat(x[k : k + 1], len(x), 0), x) for k in range(50)], 9)
+        want = np.lexsort((np.broadcast_to(np.arange(len(x)), scores.shape), -scores), axis=1)[:, :40]
+        assert (best.id.reshape(50, 40) == want).all() and (best.score == np.take_along_axis(scores, want, 1).ravel()).all()
+    assert max(most) <= 4096 and best.score.max() == 1
+    assert (best.id.reshape(50, 40)[:, :30] == np.arange(30) * 100 + np.arange(50)[:, None]).all()
+
+
 def test_memory(spark):
     rows = [("e1", "ag", "t1", 1000, "LSM tree compaction notes", ["Storage"], 0.5, None), ("e2", "ag", "t2", 4000, "unrelated words", ["misc"], 0.9, None)]
     e = spark.createDataFrame(rows, "id string, agent_id string, task_id string, timestamp long, content string, tags array<string>, importance double, embedding array<double>")
