@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_unicode
+from .arrow import sized
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id_col: str = "d
         kind = rows.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sized(batches, 1):
                 source, index, start, end, text = [], [], [], [], []
                 for row, t in enumerate(batch.column(1).to_pylist()):
                     for k, (a, b, piece) in enumerate(chunk_text(t, config)):

@@ -346,3 +346,18 @@ def test_agents_in_turns_route_alike(spark):
     for s in ("default", "least_loaded", "priority", "adaptive"):
         one, many = (sorted(map(str, Ro.route(tasks, agents, s, turn=t).collect())) for t in (100, 4))
         assert one == many and len(one) == 30
+
+
+def test_batches_are_unpacked_in_parts():
+    import pyarrow as pa
+
+    from saltmarsh.operators.arrow import ROWS, sized
+
+    texts = ["x" * 300_000, None, "", "é" * 900_000, *["y" * 200_000] * 9, *[""] * 10_000]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["k", "t"])
+    parts = list(sized([whole.slice(0, 1), whole.slice(1)], 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole])) and max(p.num_rows for p in parts) <= ROWS
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1 << 20 for p in parts)
+    lists = pa.RecordBatch.from_arrays([pa.array([["the"] * 10_000, None, []] * 20, pa.list_(pa.string()))], ["t"])
+    cut = list(sized([lists], -1))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([lists])) and len(cut) > 10
