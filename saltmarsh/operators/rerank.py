@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
+from .arrow import sized
 
 WEIGHTS = (0.5, 0.3, 0.2)
 ALPHA = 0.7
@@ -50,24 +51,31 @@ def score_pair(q: list[str], d: list[str], weights: tuple[float, float, float] =
 
 def explained(pairs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """pairs (query, text, ...) with the four scores. One pass over the pairs in Arrow batches, without a shuffle; the
-    token arrays come from the same expressions as everywhere else."""
+    token arrays come from the same expressions as everywhere else and are unpacked some megabytes at a time."""
     kept = pairs.drop(*PARTS)
     schema = StructType([*kept.schema.fields, *[StructField(p, DoubleType()) for p in PARTS]])
+    return _scored(kept.select("*", T.tokens(F.col("query")).alias("__q"), T.tokens(F.col("text")).alias("__d")), schema, weights)
+
+
+def _scored(rows: DataFrame, schema: StructType, weights: tuple[float, float, float]) -> DataFrame:
+    """rows (..., tokens of the query, tokens of the text) with the four scores in place of the tokens."""
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized(batches, -1):
             q, d = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             found = [score_pair(x, y, weights) for x, y in zip(q, d)]
             new = [pa.array([f[k] for f in found], pa.float64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names)
 
-    return kept.select("*", T.tokens(F.col("query")).alias("__q"), T.tokens(F.col("text")).alias("__d")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def explain(pairs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """pairs (query_id, doc_id, query, text) -> (query_id, doc_id, and the four scores)."""
-    return explained(pairs.select("query_id", "doc_id", "query", "text"), weights).drop("query", "text")
+    kept = pairs.select("query_id", "doc_id")
+    schema = StructType([*kept.schema.fields, *[StructField(p, DoubleType()) for p in PARTS]])
+    return _scored(pairs.select("query_id", "doc_id", T.tokens(F.col("query")).alias("__q"), T.tokens(F.col("text")).alias("__d")), schema, weights)
 
 
 def rerank(candidates: DataFrame, k: int, alpha: float = ALPHA, scores: DataFrame | None = None) -> DataFrame:
