@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from ..functions.text import trim_unicode
 from .arrow import sized
@@ -125,13 +126,16 @@ def chunk_text(text: str | None, config: ChunkConfig) -> list[tuple[int, int, st
     return [(before[a], before[b], t) for a, b, t in out]
 
 
-def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_index, chunk_id, start_char, end_char, text)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, start_char, end_char, text, and the columns to keep of the chunk's document)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
     if config.strategy == "fixed_chars":
         found = _fixed_chars(rows, config)
     else:
-        kind = rows.schema["doc_id"].dataType.simpleString()
+        schema = StructType().add("doc_id", rows.schema["doc_id"].dataType)
+        for name, kind in (("chunk_index", IntegerType()), ("start_char", LongType()), ("end_char", LongType()), ("text", StringType())):
+            schema = schema.add(name, kind)
+        schema = StructType([*schema.fields, *rows.schema.fields[2:]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sized(batches, 1):
@@ -143,29 +147,30 @@ def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig(), id_col: str = "d
                         start.append(a)
                         end.append(b)
                         text.append(piece)
+                of = [c.take(pa.array(source, pa.int32())) for c in (batch.column(0), *batch.columns[2:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(source, pa.int32())), pa.array(index, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string())],
-                    ["doc_id", "chunk_index", "start_char", "end_char", "text"],
+                    [of[0], pa.array(index, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string()), *of[1:]],
+                    schema.names,
                 )
 
-        found = rows.mapInArrow(run, f"doc_id {kind}, chunk_index int, start_char long, end_char long, text string")
+        found = rows.mapInArrow(run, schema)
     named = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string"))
-    return found.select("doc_id", "chunk_index", named.alias("chunk_id"), "start_char", "end_char", "text")
+    return found.select("doc_id", "chunk_index", named.alias("chunk_id"), "start_char", "end_char", "text", *[F.col("kept")[c].alias(c) for c in keep])
 
 
 def _fixed_chars(rows: DataFrame, c: ChunkConfig) -> DataFrame:
-    n, step = F.length("text"), _step(c.size, c.overlap)
+    n, step, more = F.length("text"), _step(c.size, c.overlap), rows.columns[2:]
     rows = rows.where(trim_unicode(F.col("text")) != "").where(F.lit(c.size > 0))
     last = F.greatest(F.ceil((n - c.size) / F.lit(step)).cast("int"), F.lit(0))
     # All windows of a row, their byte offsets and their numbers stay in the row: repeated rows are documents by themselves.
     steps = F.transform(F.sequence(F.lit(0), last), lambda w: F.octet_length(F.substring(F.col("text"), w * step + 1, F.lit(step))).cast("long"))
     starts = F.aggregate(steps, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    x = rows.select("doc_id", "text", last.alias("last"), starts.alias("starts"))
+    x = rows.select("doc_id", "text", *more, last.alias("last"), starts.alias("starts"))
     piece = lambda w: F.substring(F.col("text"), w * step + 1, F.lit(c.size))
     windows = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.struct(w.alias("w"), piece(w).alias("piece"), F.element_at("starts", w + 1).alias("start_char")))
     long_enough = lambda s: F.octet_length(trim_unicode(s["piece"])) >= c.min_chunk_size
     good = F.filter(windows, long_enough)
     # A window that ends the text is kept, however short, where none before it was.
     kept = F.when(F.size(good) > 0, good).otherwise(F.filter(windows, lambda s: s["w"] == F.col("last")))
-    found = x.select("doc_id", F.posexplode(kept).alias("chunk_index", "c"))
-    return found.select("doc_id", "chunk_index", "c.start_char", (F.col("c.start_char") + F.octet_length("c.piece")).alias("end_char"), F.col("c.piece").alias("text"))
+    found = x.select("doc_id", *more, F.posexplode(kept).alias("chunk_index", "c"))
+    return found.select("doc_id", "chunk_index", "c.start_char", (F.col("c.start_char") + F.octet_length("c.piece")).alias("end_char"), F.col("c.piece").alias("text"), *more)

@@ -21,6 +21,8 @@ from .chunk import ChunkConfig, chunk
 from .embed import embed
 from .retrieve import HybridEngine, RagQuery
 
+#: Ids with several rows in the log, or deleted, that are broadcast at most.
+MIXED = 1_000_000
 RESULTS = "array<struct<doc_id:bigint,score:double,rank:int>>"
 
 
@@ -59,10 +61,19 @@ class Rag:
         return self.spark.read.option("basePath", f"{self.folder}/documents").parquet(*[f"{self.folder}/documents/version={v}" for v in found]) if found else None
 
     def documents(self) -> DataFrame:
-        """Current documents with their vectors."""
+        """Current documents with their vectors. Rows that are alone under their id are taken as they lie; only those that others
+        replace are shuffled, unless they are too many to broadcast their ids."""
         if (log := self.log()) is None:
             raise ValueError("nothing was ingested")
-        return S.current(log).drop("is_delete", "version")
+        rows = log.select("doc_id", "version", "is_delete").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("is_delete", "version").alias("gone"))
+        mixed = written(rows.where("n > 1 OR gone OR doc_id IS NULL"), "mixed")
+        if mixed.count() > MIXED or not mixed.where("doc_id IS NULL").isEmpty():
+            return S.current(log).drop("is_delete", "version")
+        alone = log.join(F.broadcast(mixed.select("doc_id")), "doc_id", "left_anti") if not mixed.isEmpty() else log
+        newer = mixed.where("NOT gone").select("doc_id")
+        if not newer.isEmpty():
+            alone = alone.unionByName(S.current(log.join(F.broadcast(newer), "doc_id", "left_semi")))
+        return alone.drop("is_delete", "version")
 
     def chunks(self) -> DataFrame:
         """Chunks of the current versions."""
@@ -78,7 +89,7 @@ class Rag:
         version = self._next()
         rows = docs if self.embedder is None or "embedding" in docs.columns else self.embedder(docs)
         meta = [c for c in docs.columns if c not in ("doc_id", "text", "embedding")]
-        parts = chunk(docs.select("doc_id", "text"), self.chunking).join(docs.select("doc_id", *meta), "doc_id")
+        parts = chunk(docs, self.chunking, keep=tuple(meta)).where(F.col("doc_id").isNotNull())
         (self.embedder(parts) if self.embedder is not None else parts).write.mode("overwrite").parquet(f"{self.folder}/chunks/version={version}")
         rows.withColumn("is_delete", F.lit(False)).write.mode("overwrite").parquet(f"{self.folder}/documents/version={version}")
         self._forget(docs.select("doc_id"))

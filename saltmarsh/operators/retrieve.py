@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from . import dense as D
 from . import fusion as Fu
 from . import rerank as R
-from .sparse import SparseIndex, top_k
+from .sparse import SparseIndex, checked_broadcast, top_k
 
 
 @dataclass
@@ -73,7 +74,10 @@ class HybridEngine:
         sparse = engine.index.search(queries.select("query_id", "text"), wide) if spec.strategy != "dense" else None
         dense = engine._dense(queries, wide, spec.metric) if spec.strategy != "sparse" else None
         fused = Fu.fuse(dense, sparse, spec.strategy, wide, spec.rrf_k, spec.alpha).drop("rank")
-        hits = fused.join(engine.documents, "doc_id", "left")
+        # The documents of a batch's hits are few: their texts aren't shuffled with all others.
+        fused = written(fused, "fused")
+        own = checked_broadcast(fused.select("doc_id").distinct())
+        hits = fused.join(engine.documents.join(own, "doc_id", "left_semi"), "doc_id", "left")
         if spec.condition is not None and not spec.prefilter:
             hits = hits.where(spec.condition)
         if spec.mmr_lambda is not None:

@@ -89,3 +89,24 @@ def test_a_workflow_stops_at_its_first_error(spark):
     w.edges = w.edges.union(spark.createDataFrame([("a", "e")], w.edges.schema))
     with pytest.raises(CycleError):
         w.run()
+
+
+def test_texts_that_nothing_replaces_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Current documents are the same whether the ids of replaced rows are broadcast or all rows go through one aggregation."""
+    from pyspark.sql import functions as F
+
+    from saltmarsh.operators import rag as module
+    from saltmarsh.operators.chunk import ChunkConfig
+
+    r = module.Rag(spark, f"file://{tmp_path}/db", embedder=None, chunking=ChunkConfig("sentence", min_chunk_size=1))
+    of = lambda ids, text: spark.createDataFrame([(k, f"{text} {k}. End.", "en") for k in ids], "doc_id long, text string, lang string")
+    assert r.ingest(of(range(6), "old")) == {"documents": 6, "bytes": 66, "chunks": 12}
+    assert {(c.doc_id, c.lang, c.text) for c in r.chunks().where("chunk_index = 0").collect()} == {(k, "en", f"old {k}.") for k in range(6)}
+    assert "Exchange" not in r.documents()._jdf.queryExecution().executedPlan().toString()
+    r.ingest(of([1, 2], "new"))
+    r.delete(spark.createDataFrame([(2,), (3,)], "doc_id long"))
+    want = [(0, "old 0. End."), (1, "new 1. End."), (4, "old 4. End."), (5, "old 5. End.")]
+    rows = lambda: [(d.doc_id, d.text) for d in r.documents().orderBy("doc_id").collect()]
+    assert rows() == want
+    monkeypatch.setattr(module, "MIXED", 0)
+    assert rows() == want and r.documents().where(F.col("lang") == "en").count() == 4
